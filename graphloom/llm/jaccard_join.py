@@ -11,9 +11,10 @@ How the work is spread:
 2. Per shingle: the number of different sets that hold it. A shingle of one set alone can link nothing and is dropped.
 3. Per set: its repeated shingles by (frequency, value). A set whose unique shingles fill its whole prefix
    (n - ceil(t n) + 1 rarest shingles) has no partner and is done.
-4. Candidates are sets that share a shingle of both prefixes. First each set probes the tries of a few leaders of its
-   shingles; the links found make components. What is still in different components is then probed completely, so
-   no link between components is missed and no group is expanded into all its pairs.
+4. Candidates are sets that share a shingle of both prefixes. First a leader of each shingle probes the tries of the
+   sets that hold it; the links found make components. Where a shingle is still in different components, the sets
+   probe the tries of their whole cluster, skipping their own component. So no link between components is missed, and
+   a group whose sets are linked anyway is not expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -178,15 +179,16 @@ def _ordered(num: int, den: int):
 class Trie:
     """Sets in the global order, as a depth-first list of leaves with the depth shared with the leaf before."""
 
-    def __init__(self, sets: list[tuple[int, int, np.ndarray, np.ndarray]]):
+    def __init__(self, sets: list[tuple[int, int, np.ndarray, np.ndarray, int]]):
         keys = []
-        for _, _, freq, tokens in sets:
+        for _, _, freq, tokens, _ in sets:
             key = np.empty(len(tokens), [("f", ">u4"), ("t", ">u8")])
             key["f"], key["t"] = freq, tokens.view(U)
             keys.append(key.tobytes())
         order = sorted(range(len(sets)), key=keys.__getitem__)
         self.ids = [sets[i][0] for i in order]
         self.n = [sets[i][1] for i in order]
+        self.comp = [sets[i][4] for i in order]
         self.freq = [sets[i][2] for i in order]
         self.tokens = [sets[i][3].view(U) for i in order]
         self.shared = [0]
@@ -196,8 +198,8 @@ class Trie:
             self.shared.append(int(differ[0]) if len(differ) else m)
         self.shared.append(0)
 
-    def probe(self, n: int, freq: np.ndarray, tokens: np.ndarray, num: int, den: int) -> list[int]:
-        """The sets whose Jaccard similarity with the probe is at least num / den."""
+    def probe(self, n: int, freq: np.ndarray, tokens: np.ndarray, comp: int, num: int, den: int) -> list[int]:
+        """The sets of other components whose Jaccard similarity with the probe is at least num / den."""
         values = np.sort(tokens.view(U))
         need = lambda m: -(-num * (n + m) // (num + den))
         least = need(max(min(self.n), -(-n * num // den)))
@@ -210,7 +212,7 @@ class Trie:
             while path[-1][0] > depth:
                 path.pop()
             at, overlap = path[-1]
-            if self.n[i] * den < n * num or n * den < self.n[i] * num or overlap + min(len(leaf) - at, len(values) - overlap) < need(self.n[i]):
+            if self.comp[i] == comp or self.n[i] * den < n * num or n * den < self.n[i] * num or overlap + min(len(leaf) - at, len(values) - overlap) < need(self.n[i]):
                 continue
             branch = self.shared[i + 1]
             for end in (branch, len(leaf)):
@@ -232,43 +234,64 @@ class Trie:
 
 
 def _probed(num: int, den: int):
-    """Rows (a, chunk, role, sig, n, freq, tokens) sorted by (a, chunk, role): role 0 probes the trie of role 1."""
+    """Rows (group, chunk, slot, role, sig, comp, n, freq, tokens) in this order: role 1 probes the trie of role 0."""
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        def flush(probe, members):
-            if probe and members:
-                yield from ((probe[0], x) for x in Trie(members).probe(probe[1], probe[2], probe[3], num, den))
-
         def rows():
-            at, probe, members = None, None, []
+            at, trie, members = None, None, []
             for batch in batches:
-                a, chunk, role, sig, n = (batch.column(i).to_pylist() for i in range(5))
-                freqs, tokens = batch.column(5), batch.column(6)
+                group, chunk, slot, role, sig, comp, n = (batch.column(i).to_pylist() for i in range(7))
+                freqs, tokens = batch.column(7), batch.column(8)
                 for i in range(batch.num_rows):
-                    if (a[i], chunk[i]) != at:
-                        yield from flush(probe, members)
-                        at, probe, members = (a[i], chunk[i]), None, []
-                    one = (sig[i], n[i], freqs[i].values.to_numpy(), tokens[i].values.to_numpy())
+                    if (group[i], chunk[i], slot[i]) != at:
+                        at, trie, members = (group[i], chunk[i], slot[i]), None, []
+                    one = (sig[i], n[i], freqs[i].values.to_numpy(), tokens[i].values.to_numpy(), comp[i])
                     if role[i] == 0:
-                        probe = one
-                    else:
                         members.append(one)
-            yield from flush(probe, members)
+                    elif members:
+                        trie = trie or Trie(members)
+                        yield from ((sig[i], x) for x in trie.probe(*one[1:4], one[4], num, den))
 
         return _batches(rows(), schema)
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The candidate ``pairs`` (a, b) that reach the threshold, by tries of at most about TRIE_SETS sets each."""
+def _links(members: DataFrame, probes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between probes and members (group, chunk, slot, sig, comp) of the same group, chunk and slot."""
+    rows = members.withColumn("role", F.lit(0)).unionByName(probes.withColumn("role", F.lit(1))).join(sets, "sig")
+    rows = rows.select("group", "chunk", "slot", "role", "sig", "comp", "n", "freq", "tokens")
+    return rows.repartition(partitions(sets.sparkSession), "group", "chunk", "slot").sortWithinPartitions("group", "chunk", "slot", "role").mapInArrow(_probed(num, den), "a long, b long")
+
+
+def _leaders(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among the candidate ``pairs`` (a, ca, b, cb): a probes tries of its b, about TRIE_SETS in each."""
     spread = pairs.groupBy("a").agg(F.count("*").alias("_deg"))
-    members = pairs.join(spread, "a").select("a", F.col("b").alias("sig"), F.expr(f"pmod(xxhash64(b), cast(ceil(_deg / {TRIE_SETS}) as int))").cast("int").alias("chunk"))
-    probes = members.select("a", F.col("a").alias("sig"), "chunk").distinct()
-    rows = members.withColumn("role", F.lit(1)).unionByName(probes.withColumn("role", F.lit(0))).join(sets, "sig").select("a", "chunk", "role", "sig", "n", "freq", "tokens")
-    return rows.repartition(partitions(sets.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(_probed(num, den), "a long, b long")
+    chunk = F.expr(f"pmod(xxhash64(b), cast(ceil(_deg / {TRIE_SETS}) as int))").cast("int").alias("chunk")
+    dealt = pairs.join(spread, "a").select("a", "ca", "b", "cb", chunk, F.lit(0).alias("slot"))
+    members = dealt.select(F.col("a").alias("group"), "chunk", "slot", F.col("b").alias("sig"), F.col("cb").alias("comp"))
+    probes = dealt.select(F.col("a").alias("group"), "chunk", "slot", F.col("a").alias("sig"), F.col("ca").alias("comp")).distinct()
+    return _links(members, probes, sets, num, den)
+
+
+def _clusters(open_: DataFrame, clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All links between different components of a cluster, for the sets (sig, comp) of ``open_``.
+
+    The sets of a cluster lie in chunks of about TRIE_SETS, each a trie. Sets outside the largest component probe all
+    chunks of their cluster; probes come in slots of about TRIE_SETS as well, so a task holds two such parts at most.
+    """
+    held = open_.join(clusters, "sig")
+    sizes = held.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
+    whole = sizes.groupBy("cluster").agg(F.sum("k").alias("m"), F.max(F.struct("k", "comp")).alias("top")).filter("m > top.k")
+    whole = whole.select("cluster", F.expr(f"cast(ceil(m / {TRIE_SETS}) as int)").alias("chunks"), F.expr(f"cast(ceil((m - top.k) / {TRIE_SETS}) as int)").alias("slots"), F.col("top.comp").alias("main"))
+    held = held.join(whole, "cluster").select(F.col("cluster").alias("group"), "sig", "comp", "main", "chunks", "slots")
+    own = F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int")
+    members = held.select("group", own.alias("chunk"), F.explode(F.expr("sequence(0, slots - 1)")).alias("slot"), "sig", "comp")
+    place = F.pmod(F.xxhash64("sig", F.lit(1)), F.col("slots")).cast("int")
+    probes = held.filter("comp <> main").select("group", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), place.alias("slot"), "sig", "comp")
+    return _links(members, probes, sets, num, den)
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 3, den: int = 4, rounds: int = 2) -> DataFrame:
@@ -288,20 +311,21 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     # the part of the prefix that the unique shingles leave
     reach = F.expr(f"cast(n - ceil(n * {num} / {den}) + 1 - (n - size(tokens)) as int)")
     prefix = materialise(sets.select("sig", "n", F.explode(F.slice("tokens", F.lit(1), reach)).alias("token")))
-    links = None
+    links = clusters = None
     for turn in range(rounds):
-        held = prefix.join(labels, "sig") if turn else prefix.withColumn("comp", F.col("sig"))
+        held = prefix.join(_labels(sets, links), "sig") if turn else prefix.withColumn("comp", F.col("sig"))
         rank = F.struct(F.xxhash64("sig", F.lit(turn)), F.col("sig"), F.col("n"), F.col("comp"))
         leader = held.groupBy("token").agg(F.min(rank).alias("lead"), (F.min("comp") < F.max("comp")).alias("open")).filter("open").select("token", F.col("lead.sig").alias("a"), F.col("lead.n").alias("na"), F.col("lead.comp").alias("ca"))
-        pairs = held.join(leader, "token").filter(f"ca <> comp and {den} * least(n, na) >= {num} * greatest(n, na)").select("a", F.col("sig").alias("b")).distinct()
-        new = _links(pairs, sets, num, den)
+        pairs = materialise(held.join(leader, "token").filter("a <> sig").select("a", "na", "ca", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).distinct())
+        if clusters is None:  # sets that share a prefix shingle are in one cluster
+            clusters = components(pairs.select("a", "b")).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
+        near = pairs.filter(f"ca <> cb and {den} * least(na, nb) >= {num} * greatest(na, nb)")
+        new = _leaders(near.select("a", "ca", "b", "cb"), sets, num, den)
         links = materialise(new if links is None else links.unionByName(new))
-        labels = _labels(sets, links)
-    held = prefix.join(labels, "sig")
+    held = prefix.join(_labels(sets, links), "sig")
     mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    left = held.join(mixed, "token")
-    rest = left.alias("x").join(left.alias("y"), F.expr(f"x.token = y.token and x.comp < y.comp and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)")).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-    links = materialise(links.unionByName(_links(rest, sets, num, den)))
+    open_ = held.join(mixed, "token").select("sig", "comp").distinct()
+    links = materialise(links.unionByName(_clusters(open_, clusters, sets, num, den)))
     smallest = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc"))
     named = smallest.join(_labels(sets, links), "sig", "left").select("sig", "doc", F.coalesce("comp", "sig").alias("comp"))
     name = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
