@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import rows_of
-
 #: What a word is, the symbol characters, and phrases of boilerplate lines (lower case).
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -95,29 +94,31 @@ def clean(text: str | None) -> tuple:
     return len(words), chars, len(_symbol.findall(text)), dup, repeat, base, not base and 2 * kept_chars >= chars, "\n".join(kept)
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, clean_text) per row.
 
     Lines fail on navigation (separator bars), symbols, shouting, a missing end of a short line, repetition in the line
     and boilerplate phrases. ``clean_text`` has the other lines. A document is kept if it passes the base rules (50
     words, at most half of the words in repeated 3-word windows) and its lines keep half of its word characters.
-    A null or empty text has no words and is not kept. Other columns are not read; repeated rows come out repeatedly.
+    A null or empty text has no words and is not kept. The columns named in ``carry`` follow; others are not read.
+    Repeated rows come out repeatedly.
     """
-    schema = pa.schema([("doc_id", pa.int64()), *((x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("clean_text", pa.string())])
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    types = [*[pa.int64()] * len(measures), pa.bool_(), pa.bool_(), pa.string()]
+    names = ["_key", *measures, "base_failed", "kept", "clean_text", "_carry"]
 
     def run(batches):
-        held, size = [], 0
-        for doc, data in rows_of(batches, "doc_id", "text"):
-            held.append((doc, *clean(data.decode("utf-8", "replace") if data else "")))
-            size += len(data or b"")
-            if size > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
-
-    out = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, clean_text string")
-    return out.withColumnRenamed("doc_id", key)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [clean(x) for x in part.column(1).to_pylist()]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, part.column(2)], names=names)
+
+    source = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry"))
+    schema = f"_key {source.schema['_key'].dataType.simpleString()}, {' long, '.join(measures)} long, base_failed boolean, kept boolean, clean_text string, _carry {source.schema['_carry'].dataType.simpleString()}"
+    out = source.mapInArrow(run, schema)
+    return out.select(F.col("_key").alias(key), *measures, "base_failed", "kept", "clean_text", *(F.col("_carry")[c].alias(c) for c in carry))
 
 
 def _sql() -> str:

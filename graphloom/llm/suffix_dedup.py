@@ -18,7 +18,7 @@ a hot passage nor a large group lands in one task, and nothing is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -254,40 +254,41 @@ def _sorted(length: int):
     return run
 
 
-def _kept():
-    """Rows (key columns..., text, spans): the bytes that stay."""
+def _kept(decode: bool):
+    """Rows (key, text, spans, carry): the bytes that stay."""
 
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
+        kept_type = pa.string() if decode else pa.binary()
         for batch in batches:
-            ids, texts, spans = batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)
-            for at in range(0, batch.num_rows, 1024):
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 rows = []
-                for doc, text, span in zip(ids.slice(at, 1024).to_pylist(), texts.slice(at, 1024).to_pylist(), spans.slice(at, 1024), strict=True):
-                    text = text or b""
-                    if not span.is_valid:
-                        rows.append((doc, text, len(text), 0, 0))
-                        continue
-                    a, b = merged(span.values.field(0).to_numpy(), span.values.field(1).to_numpy())
-                    edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(text)]
-                    kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((doc, kept, len(text), len(text) - len(kept), len(a)))
-                yield _batch(schema, *zip(*rows, strict=True))
+                for text, span in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2), strict=True):
+                    kept = text = text or b""
+                    a = ()
+                    if span.is_valid:
+                        a, b = merged(span.values.field(0).to_numpy(), span.values.field(1).to_numpy())
+                        edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(text)]
+                        kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                    rows.append((kept.decode("utf-8", "ignore") if decode else kept, len(text), len(text) - len(kept), len(a)))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (kept_type, pa.int64(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, part.column(3)], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "_carry"])
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, chunk: int = CHUNK) -> DataFrame:
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, chunk: int = CHUNK, carry: Sequence[str] = (), decode: bool = False) -> DataFrame:
     """(key, kept binary, n_bytes, n_removed, n_spans) for each row of ``docs``.
 
     Texts are UTF-8 bytes; a null text is empty and stays empty. Texts under ``length`` bytes keep everything. Strings
     are judged on the input: all copies of a repeated string go, the first too. Repeated rows are repeats of each other
     and all come out. Rows may share a key or have none: they are told apart by key and text (a 64-bit fingerprint of
-    both names a row; rows of equal key and text have equal results). Other columns are not read. No rows, no result.
+    both names a row; rows of equal key and text have equal results). The columns in ``carry`` follow; others are not
+    read. With ``decode``, kept is a string: a character that was cut in two goes whole. No rows, no result.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry")).withColumn("key", F.xxhash64("doc_id", "text"))
     packed = texts.select("key", "text").mapInArrow(_anchored(length, buckets), _ddl(_PACKED))
     found = materialise(packed.repartition(buckets, "bucket").mapInArrow(_matched(length, chunk), _ddl(_FOUND)))
     wanted = found.filter("kind = 2").groupBy("key").agg(F.collect_list(F.struct("gram", "chunk", "split", "start", "end", "at", "weight")).alias("segs"))
@@ -298,5 +299,6 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     twice = across.groupBy("print").agg(F.sum("weight").alias("of")).filter("of > 1").select("print")
     spans = spans.unionByName(across.filter("weight = 1").join(twice, "print").select("key", "start", "end"))
     removed = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    kept = texts.join(removed, "key", "left").select("doc_id", "text", "spans").mapInArrow(_kept(), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
-    return kept.withColumnRenamed("doc_id", key)
+    schema = f"doc_id long, kept {'string' if decode else 'binary'}, n_bytes long, n_removed long, n_spans long, _carry {texts.schema['_carry'].dataType.simpleString()}"
+    kept = texts.join(removed, "key", "left").select("doc_id", "text", "spans", "_carry").mapInArrow(_kept(decode), schema)
+    return kept.select(F.col("doc_id").alias(key), "kept", "n_bytes", "n_removed", "n_spans", *(F.col("_carry")[c].alias(c) for c in carry))
