@@ -1,10 +1,53 @@
-"""The corpus pipeline: quality rules, near duplicates, repeated passages, benchmark passages, packing."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, benchmark passages, packing.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from graphloom.llm import decontaminate, jaccard_join, packing, quality_rules, queries, suffix_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the others keep the lines that pass."""
+    judged = quality_rules.quality_rules(docs, carry=["lang", "source"]).filter("kept")
+    return judged.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays, the one with the smallest doc_id; documents without words stay."""
+    stay = jaccard_join.jaccard_join(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stay, "doc_id").dropDuplicates(["doc_id"]).select(COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings of 200 bytes that start elsewhere too go; a character cut in two goes whole."""
+    kept = suffix_dedup.suffix_dedup(docs, carry=["lang", "source"], decode=True)
+    return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.decontaminate(docs, benchmark).select(COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 ids."""
+    return packing.pack(docs, queries.tokenizer("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages),
+    ("packing", packed),
+]
 
 #: Not in SQL: shingle components, suffix sorting and alignment. tests/llm holds the stages against brute force.
 ORACLE_SQL = None
