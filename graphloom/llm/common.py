@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,17 +85,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _checkpoint_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    return context.getCheckpointDir()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in spark.checkpoint.dir (a folder all executors share)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def cut(array: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    return [array[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
