@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_extract, jaccard_join, packing, quality_rules, sharding, suffix_dedup, token_counts, warc
+from . import decontaminate, html_extract, jaccard_join, kneser_ney, packing, quality_rules, sharding, suffix_dedup, token_counts, warc
 from .common import shared_folder
 
 #: Fixed value: the end-of-document id of word_bpe_49k.
@@ -29,6 +29,11 @@ def op2_line_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, folder, "documents")).drop("clean_text")
 
 
+def op3_kneser_ney_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = _table(spark, folder, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    return kneser_ney.perplexity_filter(_table(spark, folder, "documents"), trusted)
+
+
 def op4_warc_chunked_records(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc.write_archives(_table(spark, folder, "pages"), path)
