@@ -93,9 +93,22 @@ def _checkpoint_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in spark.checkpoint.dir (a folder all executors share)."""
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cuts the lineage: writes ``df`` as a table in the folder that all executors share and reads it back.
+
+    Unlike a checkpoint the last stage runs once, the table is compressed, and its size is known to the joins that
+    follow. The tables of a result are needed until it is written; then their folder can be removed.
+    """
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table of a materialised ``df`` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -119,17 +132,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``edges``; isolated nodes are not listed.
 
     Smallest labels spread to neighbours and then jump to the label of their label, so the rounds grow with the
-    logarithm of a chain's length. Each round is materialised; only a count of changes comes to the driver.
+    logarithm of a chain's length. Each round is a written table; only a sum of the labels comes to the driver.
     """
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(b, a)).distinct()
-    both = materialise(both)
-    labels = materialise(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")))
+    ends = F.array(F.struct(F.col(a).alias("node"), F.col(b).alias("other")), F.struct(F.col(b).alias("node"), F.col(a).alias("other")), F.struct(F.col(a).alias("node"), F.col(a).alias("other")), F.struct(F.col(b).alias("node"), F.col(b).alias("other")))
+    both = materialise(edges.select(F.explode(ends).alias("e")).select("e.*").distinct())
+    labels, before = materialise(both.groupBy("node").agg(F.min("other").alias("component"))), None
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        merged = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        hop = merged.select(F.col("node").alias("component"), F.col("component").alias("hop"))
-        new = materialise(merged.join(hop, "component", "left").select("node", "old", F.least("component", F.coalesce("hop", "component")).alias("component")))
-        changed = new.filter("component < old").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
+        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("component"))
+        hop = labels.select(F.col("node").alias("component"), F.col("component").alias("hop"))
+        new = materialise(near.join(hop, "component").select("node", F.least("component", "hop").alias("component")))
+        after = new.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        discard(labels)
+        labels = new
+        if before == after:
+            discard(both)
             return labels
+        before = after

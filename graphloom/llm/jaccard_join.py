@@ -282,7 +282,7 @@ def _clusters(open_: DataFrame, clusters: DataFrame, sets: DataFrame, num: int,
     The sets of a cluster lie in chunks of about TRIE_SETS, each a trie. Sets outside the largest component probe all
     chunks of their cluster; probes come in slots of about TRIE_SETS as well, so a task holds two such parts at most.
     """
-    held = open_.join(clusters, "sig")
+    held = open_.join(clusters, "comp")
     sizes = held.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
     whole = sizes.groupBy("cluster").agg(F.sum("k").alias("m"), F.max(F.struct("k", "comp")).alias("top")).filter("m > top.k")
     whole = whole.select("cluster", F.expr(f"cast(ceil(m / {TRIE_SETS}) as int)").alias("chunks"), F.expr(f"cast(ceil((m - top.k) / {TRIE_SETS}) as int)").alias("slots"), F.col("top.comp").alias("main"))
@@ -311,21 +311,23 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     # the part of the prefix that the unique shingles leave
     reach = F.expr(f"cast(n - ceil(n * {num} / {den}) + 1 - (n - size(tokens)) as int)")
     prefix = materialise(sets.select("sig", "n", F.explode(F.slice("tokens", F.lit(1), reach)).alias("token")))
-    links = clusters = None
+    links = None
     for turn in range(rounds):
         held = prefix.join(_labels(sets, links), "sig") if turn else prefix.withColumn("comp", F.col("sig"))
         rank = F.struct(F.xxhash64("sig", F.lit(turn)), F.col("sig"), F.col("n"), F.col("comp"))
         leader = held.groupBy("token").agg(F.min(rank).alias("lead"), (F.min("comp") < F.max("comp")).alias("open")).filter("open").select("token", F.col("lead.sig").alias("a"), F.col("lead.n").alias("na"), F.col("lead.comp").alias("ca"))
-        pairs = materialise(held.join(leader, "token").filter("a <> sig").select("a", "na", "ca", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).distinct())
-        if clusters is None:  # sets that share a prefix shingle are in one cluster
-            clusters = components(pairs.select("a", "b")).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
-        near = pairs.filter(f"ca <> cb and {den} * least(na, nb) >= {num} * greatest(na, nb)")
-        new = _leaders(near.select("a", "ca", "b", "cb"), sets, num, den)
+        near = held.join(leader, "token").filter(f"ca <> comp and {den} * least(n, na) >= {num} * greatest(n, na)")
+        # a set goes to the leader with which it shares most
+        shared = near.groupBy("sig", "a").agg(F.count("*").alias("k"), F.first("comp").alias("cb"), F.first("ca").alias("ca"))
+        pairs = shared.groupBy("sig").agg(F.max(F.struct("k", "a", "ca", "cb")).alias("p")).select("p.a", "p.ca", F.col("sig").alias("b"), "p.cb")
+        new = _leaders(pairs, sets, num, den)
         links = materialise(new if links is None else links.unionByName(new))
     held = prefix.join(_labels(sets, links), "sig")
-    mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    open_ = held.join(mixed, "token").select("sig", "comp").distinct()
-    links = materialise(links.unionByName(_clusters(open_, clusters, sets, num, den)))
+    mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", "lo")
+    still = materialise(held.join(mixed, "token").select("sig", "comp", "lo").distinct())
+    # components that share a prefix shingle are in one cluster
+    clusters = components(still.filter("comp <> lo").select(F.col("comp").alias("a"), F.col("lo").alias("b")).distinct()).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+    links = materialise(links.unionByName(_clusters(still.select("sig", "comp").distinct(), clusters, sets, num, den)))
     smallest = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc"))
     named = smallest.join(_labels(sets, links), "sig", "left").select("sig", "doc", F.coalesce("comp", "sig").alias("comp"))
     name = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
