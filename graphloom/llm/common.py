@@ -14,7 +14,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that one vectorised step works on; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 _byte_codes = np.random.default_rng(20).integers(1, 2**63, 256, dtype=U) | U(1)
 
@@ -81,6 +81,13 @@ def rows_of(batches, key: str, text: str) -> Iterator[tuple]:
             yield from zip(keys.slice(at, 256).to_pylist(), texts.slice(at, 256).cast(pa.binary()).to_pylist(), strict=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Holds Arrow batches of texts to so many rows, as the memory of the tasks needs; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -134,8 +141,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Smallest labels spread to neighbours and then jump to the label of their label, so the rounds grow with the
     logarithm of a chain's length. Each round is a written table; only a sum of the labels comes to the driver.
     """
-    ends = F.array(F.struct(F.col(a).alias("node"), F.col(b).alias("other")), F.struct(F.col(b).alias("node"), F.col(a).alias("other")), F.struct(F.col(a).alias("node"), F.col(a).alias("other")), F.struct(F.col(b).alias("node"), F.col(b).alias("other")))
-    both = materialise(edges.select(F.explode(ends).alias("e")).select("e.*").distinct())
+    one = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
+    two = one.select(F.col("other").alias("node"), F.col("node").alias("other"))
+    both = one.unionByName(two)
+    both = materialise(both.unionByName(both.select("node", F.col("node").alias("other"))).distinct())
     labels, before = materialise(both.groupBy("node").agg(F.min("other").alias("component"))), None
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("component"))

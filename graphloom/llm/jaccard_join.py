@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U, components, materialise, partitions, rows_of, slices
+from .common import U, components, materialise, partitions, rows_of, slices, small_batches
 from .shingles import shingle_sets, signature
 
 #: Sets that one trie holds.
@@ -302,6 +302,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     Rows with a null key take part (their component is named by other keys, or null). Repeated rows come out repeatedly.
     Other columns of ``docs`` are not read, so their names cannot clash. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     buckets = partitions(docs.sparkSession)
     packed = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_shingled("doc_id", "text", size, buckets), _PACKED)
     counted = packed.repartition(buckets, "bucket").mapInArrow(_counted(buckets), _PACKED)
@@ -325,8 +326,11 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     held = prefix.join(_labels(sets, links), "sig")
     mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", "lo")
     still = materialise(held.join(mixed, "token").select("sig", "comp", "lo").distinct())
-    # components that share a prefix shingle are in one cluster
-    clusters = components(still.filter("comp <> lo").select(F.col("comp").alias("a"), F.col("lo").alias("b")).distinct()).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+    # components that share a prefix shingle are in one cluster: along one edge of each first, then what that left apart
+    first = components(still.filter("comp <> lo").groupBy(F.col("comp").alias("a")).agg(F.min("lo").alias("b"))).select(F.col("node").alias("comp"), F.col("component").alias("near"))
+    apart = still.select("comp", "lo").distinct().join(first, "comp").join(first.select(F.col("comp").alias("lo"), F.col("near").alias("other")), "lo").filter("near <> other").select("near", "other").distinct()
+    joined = components(apart, "near", "other").select(F.col("node").alias("near"), F.col("component").alias("cluster"))
+    clusters = materialise(first.join(joined, "near", "left").select("comp", F.coalesce("cluster", "near").alias("cluster")))
     links = materialise(links.unionByName(_clusters(still.select("sig", "comp").distinct(), clusters, sets, num, den)))
     smallest = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc"))
     named = smallest.join(_labels(sets, links), "sig", "left").select("sig", "doc", F.coalesce("comp", "sig").alias("comp"))
