@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE_BYTES, Rolling, U, rows_of, slices
+from .common import SLICE_BYTES, Rolling, U, rows_of, slices, small_batches
 
 Q = 12
 WINDOW = 96
@@ -185,6 +185,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     1 MiB that holds it in two pieces). Null and empty texts match nothing; items under 12 normalised bytes are never
     found. Repeated rows come out repeatedly. Other columns are not read. An empty benchmark or table gives no rows.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0

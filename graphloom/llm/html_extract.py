@@ -9,6 +9,8 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import small_batches
+
 #: Elements that start a block of their own.
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 #: Elements without an end tag.
@@ -195,6 +197,7 @@ def extract(pages: DataFrame, key: str = "page_id", page: str = "html", carry: S
     markup is read as far as it goes. Repeated rows come out repeatedly; columns not in ``carry`` are not read.
     """
 
+    small_batches(pages.sparkSession)
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 128):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE_BYTES, materialise
+from .common import SLICE_BYTES, materialise, small_batches
 
 ORDER = 5
 #: The most rows of probabilities and back-off weights that tasks hold (12 bytes each).
@@ -230,6 +230,7 @@ def perplexity_filter(docs: DataFrame, trusted: DataFrame, key: str = "doc_id",
     end alone. Repeated rows come out repeatedly, rows with a null key are never trusted; other columns are not read.
     Long texts are read whole.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     keys = trusted.select(F.col(key).cast("long").alias("key")).filter("key is not null").distinct()
     few = keys.count() <= TRUSTED_KEYS

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, numbered, rows_of
+from .common import materialise, numbered, rows_of, small_batches
 
 #: Distinct words whose ids a task remembers; then it starts anew.
 WORDS_HELD = 400_000
@@ -90,6 +90,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     hold their pieces without gaps and need no padding: each is full or a power of two long. Repeated rows and null
     keys are packed like others; other columns are not read; an empty table gives no pieces.
     """
+    small_batches(docs.sparkSession)
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("local", pa.int64())])

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import small_batches
+
 #: What a word is, the symbol characters, and phrases of boilerplate lines (lower case).
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -103,6 +105,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", carr
     A null or empty text has no words and is not kept. The columns named in ``carry`` follow; others are not read.
     Repeated rows come out repeatedly.
     """
+    small_batches(docs.sparkSession)
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     types = [*[pa.int64()] * len(measures), pa.bool_(), pa.bool_(), pa.string()]
     names = ["_key", *measures, "base_failed", "kept", "clean_text", "_carry"]

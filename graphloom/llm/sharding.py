@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -62,9 +63,7 @@ def with_shard(df: DataFrame, keys: list[str], shards: int, name: str = "shard")
     """``df`` with the shard of the given key columns of any type."""
 
     @F.pandas_udf("int")
-    def place(h: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
-        import pandas as pd
-
+    def place(h: pd.Series) -> pd.Series:
         return pd.Series(jump_hash(mix(h.to_numpy().view(U)), shards).astype("int32"))
 
     return df.withColumn(name, place(F.xxhash64(*keys)))

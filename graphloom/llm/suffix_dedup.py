@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE_BYTES, Rolling, U, materialise, mix, partitions, rows_of, slices
+from .common import SLICE_BYTES, Rolling, U, materialise, mix, partitions, rows_of, slices, small_batches
 from .suffix_array import suffix_array
 
 GRAM = 50
@@ -287,6 +287,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     read. With ``decode``, kept is a string: a character that was cut in two goes whole. No rows, no result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = partitions(spark)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry")).withColumn("key", F.xxhash64("doc_id", "text"))
     packed = texts.select("key", "text").mapInArrow(_anchored(length, buckets), _ddl(_PACKED))

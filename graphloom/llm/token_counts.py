@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, small_batches
 from .packing import token_rows
 
 #: Ids of a block.
@@ -108,5 +108,6 @@ def scan(blocks: DataFrame, end: int, width: int = 32) -> DataFrame:
 
 def token_counts(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(key, n_tokens) of each row of ``docs``: written as flat token files, found again by the scan."""
+    small_batches(docs.sparkSession)
     blocks, order = write_tokens(docs, tokenizer, end, key, text, block)
     return order.join(scan(blocks, end), ["file", "ordinal"]).select(key, "file", "ordinal", "start", "n_tokens")

@@ -16,7 +16,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import partitions
+from .common import partitions, small_batches
 
 #: Bytes of payload in a chunk.
 CHUNK = 1 << 20
@@ -47,6 +47,7 @@ def chunked(pages: DataFrame, archives: int, key: str = "page_id", url: str = "u
     are revisits of it; rows that repeat that key and payload are responses too. A null payload is empty. ``digest`` is
     that of the payload up to the end of the chunk. Null keys are written as such and are never referred to.
     """
+    small_batches(pages.sparkSession)
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.cast("binary").alias("payload")).withColumn("sha", F.sha1("payload"))
     first = rows.filter(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
