@@ -14,7 +14,9 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that one vectorised step works on; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
+#: Bytes of text whose results are packed together.
+GROUP_BYTES = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 _byte_codes = np.random.default_rng(20).integers(1, 2**63, 256, dtype=U) | U(1)
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U, components, materialise, partitions, rows_of, slices, small_batches
+from .common import GROUP_BYTES, U, components, materialise, partitions, rows_of, slices, small_batches
 from .shingles import shingle_sets, signature
 
 #: Sets that one trie holds.
@@ -72,7 +72,7 @@ def _columns(batches) -> Iterator[tuple]:
 def _shingled(key: str, text: str, size: int, buckets: int):
     def run(batches):
         def rows():
-            for group in slices(((k, t or b"") for k, t in rows_of(batches, key, text))):
+            for group in slices(((k, t or b"") for k, t in rows_of(batches, key, text)), GROUP_BYTES):
                 sets = shingle_sets([t for _, t in group], size)
                 sigs = np.array([signature(s) for s in sets], np.int64)
                 ns = np.array([len(s) for s in sets], np.int64)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE_BYTES, materialise, small_batches
+from .common import GROUP_BYTES, materialise, small_batches
 
 ORDER = 5
 #: The most rows of probabilities and back-off weights that tasks hold (12 bytes each).
@@ -47,7 +47,7 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_language(batches):
-    """(language, keys, texts) of about SLICE_BYTES of rows (key, language, text)."""
+    """(language, keys, texts) of about GROUP_BYTES of rows (key, language, text)."""
     held, size = {}, 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -56,7 +56,7 @@ def _by_language(batches):
                 held.setdefault(lang, ([], []))[0].append(key)
                 held[lang][1].append(text or b"")
                 size += len(text or b"")
-            if size > SLICE_BYTES:
+            if size > GROUP_BYTES:
                 yield from ((lang, *x) for lang, x in held.items())
                 held, size = {}, 0
     yield from ((lang, *x) for lang, x in held.items())

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE_BYTES, Rolling, U, materialise, mix, partitions, rows_of, slices, small_batches
+from .common import GROUP_BYTES, SLICE_BYTES, Rolling, U, materialise, mix, partitions, rows_of, slices, small_batches
 from .suffix_array import suffix_array
 
 GRAM = 50
@@ -76,38 +76,59 @@ def _pieces(batches, length: int) -> Iterator[tuple]:
             yield (key, at), text[at : at + SLICE_BYTES + length - 1]
 
 
+def _owned(group: list[tuple], length: int) -> tuple[np.ndarray, ...]:
+    """(owner's k-gram, whole segment, key, start, small) of the segments of some pieces; small: strings - 1, owner's
+    offset, 1. Strings do not cross pieces."""
+    data = np.frombuffer(b"".join(t for _, t in group), np.uint8)
+    bounds = np.r_[0, np.cumsum([len(t) for _, t in group])]
+    own, grams, rolling = owners(data, length, GRAM)
+    piece = np.repeat(np.arange(len(group)), np.diff(bounds))[: len(own)]
+    whole = np.arange(len(own)) + length <= bounds[piece + 1]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (piece[1:] != piece[:-1])
+    first = np.flatnonzero(new & whole)
+    ends = np.flatnonzero(np.r_[(new | ~whole)[1:], True] & whole)
+    p, piece = own[first], piece[first]
+    prints = mix(rolling.spans(first, ends + length) + (p - first).astype(U))
+    keys = np.array([k for (k, _), _ in group], np.int64)[piece]
+    starts = first - bounds[piece] + np.array([b for (_, b), _ in group], np.int64)[piece]
+    return grams[p], prints, keys, starts, np.stack([ends - first, p - first, np.ones(len(p), np.int64)], 1).astype(np.uint8)
+
+
 def _anchored(length: int, buckets: int):
+    """The segments of each task, packed by the k-gram of their owner; equal ones are settled where they meet."""
+
+    def packed(parts):
+        grams, prints, keys, starts, small = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, at, inverse, count = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
+        again, rows = count[inverse] > 1, []
+        small[again, 2] = 2
+        if again.any():  # one of them goes on
+            key, start, end = keys[again], starts[again], starts[again] + small[again, 0] + length
+            order = np.lexsort((start, key))
+            key, start, end = key[order], start[order], end[order]
+            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                a, b = merged(start[x:y], end[x:y])
+                rows.append((int(mix(key[x : x + 1].view(U))[0] % U(buckets)), 1, None, None, np.full(len(a), key[x]).tobytes(), a.tobytes(), b.tobytes()))
+        target = (mix(grams[at]) >> U(32)) * U(buckets) >> U(32)  # mixed anew: owners are minima and so small
+        order = np.argsort(target, kind="stable")
+        cuts = np.searchsorted(target[order], np.arange(buckets + 1, dtype=U))
+        for b in np.flatnonzero(np.diff(cuts)):
+            x = at[order[cuts[b] : cuts[b + 1]]]
+            rows.append((int(b), 0, grams[x].tobytes(), prints[x].tobytes(), keys[x].tobytes(), starts[x].tobytes(), small[x].tobytes()))
+        return _batch(_PACKED, *zip(*rows, strict=True))
+
     def run(batches):
+        parts, held = [], 0
         for group in slices(_pieces(batches, length)):
-            data = np.frombuffer(b"".join(t for _, t in group), np.uint8)
-            bounds = np.r_[0, np.cumsum([len(t) for _, t in group])]
-            own, grams, rolling = owners(data, length, GRAM)
-            piece = np.searchsorted(bounds, np.arange(len(own)), side="right") - 1
-            whole = np.arange(len(own)) + length <= bounds[piece + 1]
-            new = np.ones(len(own), bool)
-            new[1:] = (own[1:] != own[:-1]) | (piece[1:] != piece[:-1])
-            first = np.flatnonzero(new & whole)
-            ends = np.flatnonzero(np.r_[(new | ~whole)[1:], True] & whole)
-            p, piece = own[first], piece[first]
-            prints = mix(rolling.spans(first, ends + length) + (p - first).astype(U))
-            keys = np.array([k for (k, _), _ in group], np.int64)[piece]
-            starts = first - bounds[piece] + np.array([b for (_, b), _ in group], np.int64)[piece]
-            _, at, inverse, count = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
-            again = count[inverse] > 1
-            small = np.stack([(ends - first), p - first, np.where(again, 2, 1)], 1).astype(np.uint8)
-            rows = []
-            if again.any():  # equal segments of this slice: settled here, one of them goes on
-                for key in np.unique(keys[again]):
-                    mine = again & (keys == key)
-                    a, b = merged(starts[mine], starts[mine] + (ends - first)[mine] + length)
-                    rows.append((int(mix(np.array([key]).view(U))[0] % U(buckets)), 1, None, None, np.full(len(a), key).tobytes(), a.tobytes(), b.tobytes()))
-            g, target = grams[p][at], (grams[p][at] >> U(32)) * U(buckets) >> U(32)
-            order = np.argsort(target, kind="stable")
-            cuts = np.searchsorted(target[order], np.arange(buckets + 1, dtype=U))
-            for b in np.flatnonzero(np.diff(cuts)):
-                x = at[order[cuts[b] : cuts[b + 1]]]
-                rows.append((int(b), 0, grams[p[x]].tobytes(), prints[x].tobytes(), keys[x].tobytes(), starts[x].tobytes(), small[x].tobytes()))
-            yield _batch(_PACKED, *zip(*rows, strict=True))
+            parts.append(_owned(group, length))
+            held += sum(len(t) for _, t in group)
+            if held > GROUP_BYTES:
+                yield packed(parts)
+                parts, held = [], 0
+        if parts:
+            yield packed(parts)
 
     return run
 
