@@ -14,6 +14,7 @@ import re
 import uuid
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import partitions, small_batches
@@ -55,6 +56,7 @@ def chunked(pages: DataFrame, archives: int, key: str = "page_id", url: str = "u
     rows = rows.join(first, "sha", "left").withColumn("refers", F.expr(f"if(octet_length(payload) >= {least} and first <> coalesce(page_id, -1 - first), first, null)"))
 
     def run(batches):
+        task, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             for row in range(batch.num_rows):
                 page, link, refers = (batch.column(i)[row].as_py() for i in (0, 1, 3))
@@ -62,8 +64,8 @@ def chunked(pages: DataFrame, archives: int, key: str = "page_id", url: str = "u
                 sha = bytes.fromhex(batch.column(4)[row].as_py())
                 kind, length = ("response", len(view)) if refers is None else ("revisit", 0)
                 where = int.from_bytes(hashlib.blake2b(str((page, link)).encode(), digest_size=8).digest()) % archives
-                # rows may share a key: the record is told apart by its payload and target too
-                mark = uuid.uuid5(uuid.NAMESPACE_URL, f"{page} {link} {sha.hex()}")
+                # rows may repeat as a whole: the record is told apart by its task and place there
+                mark, place = uuid.uuid5(uuid.NAMESPACE_URL, f"{task} {place} {page} {link} {sha.hex()}"), place + 1
                 record = f"<urn:page:{'' if page is None else page}:{mark}>"
                 running, out, held = hashlib.sha1(), [], 0
                 out.append((where, record, 0, _header(kind, record, link, date, len(view), base32(sha), length, refers), base32(running.digest())))

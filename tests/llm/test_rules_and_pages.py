@@ -4,7 +4,7 @@ import pytest
 from graphloom.llm.html_extract import extract, main_text
 from graphloom.llm.quality_rules import ORACLE_SQL, clean, quality_rules
 
-PROSE = "\n".join(f"Sentence number {i} has some plain words of its own, and it ends {i * 7}." for i in range(12))
+PROSE = "\n".join(" ".join(f"word{i * j}x{i}" for j in range(9)) + ", and so." for i in range(1, 13))
 
 
 def test_rules_match_sql(spark, documents, tmp_path):
