@@ -10,41 +10,75 @@ fill across tasks without moving any piece, and no document, source or copy is e
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise, numbered, rows_of, small_batches
 
-#: Distinct words whose ids a task remembers; then it starts anew.
-WORDS_HELD = 400_000
+#: Distinct words, and parts of words, whose ids a task remembers; then it starts anew.
+WORDS_HELD = 150_000
+#: Words of these characters take the short way; the tokenizer does not change them but for their case.
+PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u02af]+")
+#: Fixed value: how the tokenizer cuts lower-case text into parts.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters of byte-level models: printable bytes are themselves, the others follow from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(kept)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that never joins across a space or a line end; remembers the ids of words."""
+    """Ids of texts by a lower-casing byte-level tokenizer that never joins across a space or a line end.
+
+    The ids of words and of their parts are remembered. Words of Latin letters are cut into parts here and only new
+    parts go to the model; all other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        self.model = self.tokenizer.model
+        self.letters = {chr(b): c for b, c in byte_letters().items()}
+        self.table = str.maketrans(self.letters)
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.table)
+        self.parts[part] = ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word):
+            parts = self.parts
+            ids = b"".join([parts.get(x) or self._part(x) for x in PARTS.findall(word.lower())])
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self.words[word] = ids
+        return ids
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > WORDS_HELD:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32)
-        return [np.concatenate([known[w] for w in words]) for words in split]
+        for held in (self.words, self.parts):
+            if len(held) > WORDS_HELD:
+                held.clear()
+        known, word = self.words, self._word
+        out = []
+        for text in texts:
+            found = [known[w] if w in known else word(w) for w in text.replace("\n", " ").split(" ")]
+            out.append(np.frombuffer(b"".join(found), np.uint32))
+        return out
 
 
 def token_rows(batches, path: str, end: int | None) -> Iterator[tuple[int | None, np.ndarray]]:
