@@ -71,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op2_line_quality_rules": quality_rules.ORACLE_SQL, "op8_ngram_jaccard_join": jaccard_join.ORACLE_SQL}
