@@ -29,7 +29,8 @@ from .suffix_array import suffix_array
 
 GRAM = 50
 BLOCK = 32
-CHUNK = 1024
+#: Segments of one owner that are sorted together (about 3 MB of text); more are split.
+CHUNK = 8192
 #: Segments whose suffixes are sorted together.
 BATCH = 4096
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in ("gram", "whole", "key", "start", "small"))])
