@@ -176,6 +176,21 @@ def _ordered(num: int, den: int):
     return run
 
 
+class Joined:
+    """The components that the links of one trie have joined so far; with ``keep`` false it stays empty."""
+
+    def __init__(self, keep: bool = False):
+        self.held: dict[int, int] | None = {} if keep else None
+
+    def root(self, comp: int) -> int:
+        while self.held and comp in self.held:
+            comp = self.held[comp]
+        return comp
+
+    def link(self, comp: int, root: int) -> None:
+        self.held[self.root(comp)] = root
+
+
 class Trie:
     """Sets in the global order, as a depth-first list of leaves with the depth shared with the leaf before."""
 
@@ -198,8 +213,13 @@ class Trie:
             self.shared.append(int(differ[0]) if len(differ) else m)
         self.shared.append(0)
 
-    def probe(self, n: int, freq: np.ndarray, tokens: np.ndarray, comp: int, num: int, den: int) -> list[int]:
-        """The sets of other components whose Jaccard similarity with the probe is at least num / den."""
+    def probe(self, n: int, freq: np.ndarray, tokens: np.ndarray, comp: int, num: int, den: int, joined: Joined | None = None) -> list[int]:
+        """The sets of other components whose Jaccard similarity with the probe is at least num / den.
+
+        With ``joined`` a component that a link already reaches counts as the probe's own, and each link found adds to it.
+        """
+        joined = joined or Joined()
+        mine = joined.root(comp)
         values = np.sort(tokens.view(U))
         need = lambda m: -(-num * (n + m) // (num + den))
         least = need(max(min(self.n), -(-n * num // den)))
@@ -212,7 +232,7 @@ class Trie:
             while path[-1][0] > depth:
                 path.pop()
             at, overlap = path[-1]
-            if self.comp[i] == comp or self.n[i] * den < n * num or n * den < self.n[i] * num or overlap + min(len(leaf) - at, len(values) - overlap) < need(self.n[i]):
+            if joined.root(self.comp[i]) == mine or self.n[i] * den < n * num or n * den < self.n[i] * num or overlap + min(len(leaf) - at, len(values) - overlap) < need(self.n[i]):
                 continue
             branch = self.shared[i + 1]
             for end in (branch, len(leaf)):
@@ -230,29 +250,34 @@ class Trie:
                         break
             if not dead and overlap >= need(self.n[i]):
                 found.append(self.ids[i])
+                if joined.held is not None:
+                    joined.link(self.comp[i], mine)
         return found
 
 
 def _probed(num: int, den: int):
-    """Rows (group, chunk, slot, role, sig, comp, n, freq, tokens) in this order: role 1 probes the trie of role 0."""
+    """Rows (group, chunk, slot, role, sig, comp, n, freq, tokens) in this order: role 1 probes the trie of role 0.
+
+    The links of one trie are a forest over its components: a link between parts that are joined already is not emitted.
+    """
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def rows():
-            at, trie, members = None, None, []
+            at, trie, members, joined = None, None, [], None
             for batch in batches:
                 group, chunk, slot, role, sig, comp, n = (batch.column(i).to_pylist() for i in range(7))
                 freqs, tokens = batch.column(7), batch.column(8)
                 for i in range(batch.num_rows):
                     if (group[i], chunk[i], slot[i]) != at:
-                        at, trie, members = (group[i], chunk[i], slot[i]), None, []
+                        at, trie, members, joined = (group[i], chunk[i], slot[i]), None, [], Joined(True)
                     one = (sig[i], n[i], freqs[i].values.to_numpy(), tokens[i].values.to_numpy(), comp[i])
                     if role[i] == 0:
                         members.append(one)
                     elif members:
                         trie = trie or Trie(members)
-                        yield from ((sig[i], x) for x in trie.probe(*one[1:4], one[4], num, den))
+                        yield from ((sig[i], x) for x in trie.probe(*one[1:4], one[4], num, den, joined))
 
         return _batches(rows(), schema)
 
