@@ -181,8 +181,8 @@ def _pieces(rows) -> Iterator[tuple]:
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", per_edit: int = PER_EDIT) -> DataFrame:
     """(key, item_id, first_byte, end_byte, windows, edits): the regions of each document that match an item.
 
-    Rows are only for documents that match; a document row gives one row for each item it matches (two for a text over
-    1 MiB that holds it in two pieces). Null and empty texts match nothing; items under 12 normalised bytes are never
+    Rows are only for documents that match; a document row gives one row for each item it matches (more for a text over
+    128 KiB that holds it in several pieces). Null and empty texts match nothing; items under 12 normalised bytes are never
     found. Repeated rows come out repeatedly. Other columns are not read. An empty benchmark or table gives no rows.
     """
     small_batches(docs.sparkSession)
