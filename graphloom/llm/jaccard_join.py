@@ -351,8 +351,9 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     held = prefix.join(_labels(sets, links), "sig")
     mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", "lo")
     still = materialise(held.join(mixed, "token").select("sig", "comp", "lo").distinct())
-    # components that share a prefix shingle are in one cluster: along one edge of each first, then what that left apart
-    first = components(still.filter("comp <> lo").groupBy(F.col("comp").alias("a")).agg(F.min("lo").alias("b"))).select(F.col("node").alias("comp"), F.col("component").alias("near"))
+    # components that share a prefix shingle are in one cluster: along one edge of each first, then what that left apart;
+    # a component that is the least of all its shingles has an edge to itself, so that the second step meets it
+    first = components(still.groupBy(F.col("comp").alias("a")).agg(F.min("lo").alias("b"))).select(F.col("node").alias("comp"), F.col("component").alias("near"))
     apart = still.select("comp", "lo").distinct().join(first, "comp").join(first.select(F.col("comp").alias("lo"), F.col("near").alias("other")), "lo").filter("near <> other").select("near", "other").distinct()
     joined = components(apart, "near", "other").select(F.col("node").alias("near"), F.col("component").alias("cluster"))
     clusters = materialise(first.join(joined, "near", "left").select("comp", F.coalesce("cluster", "near").alias("cluster")))

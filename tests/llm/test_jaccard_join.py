@@ -95,3 +95,21 @@ def test_shingles_of_long_and_short_texts():
     assert [len(x) for x in shingle_sets([long, b"a b c d", b"", None, b"A b", b"a B"])] == [5000, 1, 0, 0, 1, 1]
     a, b, c, d = shingle_sets([b"A b", b"a B", b"a b c", b"c b a"])
     assert a[0] == b[0] and len({int(a[0]), int(c[0]), int(d[0])}) == 3
+
+
+def test_component_that_is_least_of_all_its_shingles(spark, documents):
+    """c links with l but shares more rare shingles with m; two long texts make all but those frequent."""
+    words = lambda *x: [f"{'x'.join(map(str, x))}x{j}" for j in range(x[-1])]
+    rows, want, long = [], [], ([], [])
+    for seed in range(400):
+        p, q, r = words(seed, "p", 90), words(seed, "q", 18), words(seed, "r", 90)
+        one = [(10 * seed, " ".join(q + p)), (10 * seed + 1, " ".join(p + words(seed, "l", 10))), (10 * seed + 2, " ".join(q + r))]
+        rows += one
+        want += brute(one)
+        for side, x in enumerate(long):
+            x += p + [f"gap{side}x{seed}"] + r + words(seed, "junk", side, 120)
+    for doc, x in zip((9000, 9001), long, strict=True):
+        rows.append((doc, " ".join([str(doc), *x])))
+        want += brute(rows[-1:])
+    got = [tuple(x) for x in jaccard_join(documents(rows)).collect()]
+    assert sorted(got) == sorted(want)
