@@ -1,9 +1,11 @@
 """Benchmark decontamination: the q-gram lemma on overlapping diagonal bands, then banded alignment.
 
 Texts and items are normalised alike (letters lower case, other ASCII characters as one space). An item is searched by
-windows of WINDOW bytes, one every STEP bytes. A place in a text that is within e edits of a window of m bytes shares at
-least m + 1 - q (e + 1) of its q-grams with it, all on diagonals that differ by e at most; bands of 2 (e + 1) diagonals
-that overlap by half hold each such set of diagonals whole. Bands with fewer hits are dropped, the rest is aligned.
+windows of each of SIZES bytes, one every STEP bytes, so an excerpt of 63 bytes holds a whole window wherever it is cut.
+A place in a text that is within e edits of a window of m bytes shares at least m + 1 - q (e + 1) of its q-grams with
+it, all on diagonals that differ by e at most; bands of 2 (e + 1) diagonals that overlap by half hold each such set of
+diagonals whole. The q-grams are those of the items: bands of an item with fewer hits than a window needs are dropped
+first, then windows with fewer hits in a band; the rest is aligned.
 """
 
 from __future__ import annotations
@@ -17,8 +19,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import SLICE_BYTES, Rolling, U, rows_of, slices, small_batches
 
 Q = 12
+#: The longest window.
 WINDOW = 96
-STEP = 48
+#: Long windows allow more edits in one place, short ones lie between places with many.
+SIZES = (WINDOW, 56)
+STEP = 8
 #: One edit for so many bytes of a window.
 PER_EDIT = 16
 #: Bytes of benchmark text that one broadcast index may hold; a larger benchmark is searched in several passes.
@@ -49,44 +54,50 @@ def edits_allowed(m: int, per_edit: int = PER_EDIT) -> int:
     return min(m // per_edit, (m + 1) // Q - 1) if m >= Q else -1
 
 
-def windows(items: list[tuple[int, bytes]], per_edit: int) -> list[tuple[int, np.ndarray, int]]:
-    """(item, bytes, edits) of every window of the items; the last window ends with its item."""
-    out = []
-    for item, text in items:
-        data = normalised(np.frombuffer(b" " + text + b" ", np.uint8))[0][1:-1] if text else np.zeros(0, np.uint8)
-        starts = [*range(0, max(1, len(data) - WINDOW), STEP), max(0, len(data) - WINDOW)]
-        for a in sorted(set(starts)):
-            e = edits_allowed(len(data[a : a + WINDOW]), per_edit)
-            if e >= 0:
-                out.append((item, data[a : a + WINDOW], e))
-    return out
-
-
 class Index:
-    """The q-grams of all windows in order, with the windows and places that hold them."""
+    """The q-grams of all items in order, with the items and places that hold them, and the windows of the items."""
 
     def __init__(self, items: list[tuple[int, bytes]], per_edit: int):
-        found = windows(items, per_edit)
-        self.item = np.array([x for x, _, _ in found], np.int64)
-        self.length = np.array([len(x) for _, x, _ in found], np.int64)
-        self.edits = np.array([e for _, _, e in found], np.int64)
-        self.need = self.length + 1 - Q * (self.edits + 1)
-        self.bytes = np.zeros((len(found), WINDOW), np.uint8)
-        for row, (_, data, _) in zip(self.bytes, found, strict=True):
-            row[: len(data)] = data
-        grams = [Rolling(x).grams(Q) for _, x, _ in found]
-        window = np.repeat(np.arange(len(found)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        texts = [normalised(np.frombuffer(b" " + text + b" ", np.uint8))[0][1:-1] if text else np.zeros(0, np.uint8) for _, text in items]
+        sizes = np.array([len(x) for x in texts], np.int64)
+        self.first = np.cumsum(np.r_[0, sizes])[:-1]
+        self.text = np.concatenate([*texts, np.zeros(WINDOW, np.uint8)])
+        self.size = sizes
+        #: For each of SIZES: bytes, edits, shared q-grams, windows and first window of each item; an item that is shorter is one window.
+        self.scales, total, kept = [], 0, []
+        for most, shorter in zip(SIZES, [True] + [False] * (len(SIZES) - 1), strict=True):
+            length = np.minimum(sizes, most)
+            edits = np.array([edits_allowed(int(m), per_edit) for m in length], np.int64)
+            count = np.where((edits >= 0) & (shorter | (sizes > most)), -(-(sizes - length) // STEP) + 1, 0)
+            base = total + np.cumsum(np.r_[0, count])[:-1]
+            owner = np.repeat(np.arange(len(sizes)), count)
+            start = np.minimum((np.arange(count.sum()) + total - base[owner]) * STEP, (sizes - length)[owner])  # the last ends with its item
+            kept.append((owner.astype(np.int32), (self.first[owner] + start).astype(np.int32), length[owner].astype(np.int16), edits[owner].astype(np.int16)))
+            self.scales.append((length, edits, length + 1 - Q * (edits + 1), count, base))
+            total += int(count.sum())
+        self.owner, self.start, self.length, self.edits = (np.concatenate(x) for x in zip(*kept, strict=True))
+        self.item = np.array([x for x, _ in items], np.int64)[self.owner]
+        grams = [Rolling(x).grams(Q) if len(x) >= Q else np.zeros(0, U) for x in texts]
+        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int32)
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.zeros(0, np.int32)
         gram = np.concatenate(grams) if grams else np.zeros(0, U)
         order = np.argsort(gram, kind="stable")
         self.gram, first = np.unique(gram[order], return_index=True)
         self.bounds = np.r_[first, len(gram)]
-        self.window, self.place = window[order], place[order]
+        self.holder, self.place = owner[order], place[order]
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.gram >> U(44)).astype(np.int64)] = True
 
+    @property
+    def bytes(self) -> np.ndarray:
+        """The bytes of every window, and what follows it up to the longest length."""
+        return self._bytes(np.arange(len(self.start)))
+
+    def _bytes(self, window: np.ndarray) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(self.text, WINDOW)[self.start[window]]
+
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in ``data``, window, place in the window) of each shared q-gram."""
+        """(place in ``data``, number of the item, place in the item) of each shared q-gram."""
         none = np.zeros(0, np.int64)
         if len(data) < Q or not len(self.gram):
             return none, none, none
@@ -95,32 +106,54 @@ class Index:
         where = np.minimum(np.searchsorted(self.gram, grams[at]), len(self.gram) - 1)
         same = self.gram[where] == grams[at]
         at, where = at[same], where[same]
-        count = self.bounds[where + 1] - self.bounds[where]
-        entry = np.repeat(self.bounds[where], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return np.repeat(at, count), self.window[entry], self.place[entry]
+        entry, count = _ranges(self.bounds[where], self.bounds[where + 1] - self.bounds[where])
+        return np.repeat(at, count), self.holder[entry].astype(np.int64), self.place[entry].astype(np.int64)
 
     def matches(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(window, start, end, edits) of regions of ``data`` within the edits of a window; starts are approximate."""
-        at, window, place = self.hits(data)
-        width = self.edits[window] + 1
-        band = (at - place + WINDOW) // width  # shifted: a window may begin before the text does
+        at, item, place = self.hits(data)
+        found = [self._near(data, at, item, place, scale) for scale in self.scales]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _near(self, data: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray, scale: tuple) -> tuple[np.ndarray, ...]:
+        length, edits, need, count, base = scale
+        mine = count[item] > 0
+        at, item, place = at[mine], item[mine], place[mine]
+        width = edits[item] + 1
+        shift = self.size[item] + WINDOW  # an item may begin before the text does
+        band = (at - place + shift) // width
         span = U(1) << U(32)
-        keys = np.r_[window.astype(U) * span + band.astype(U), window.astype(U) * span + (band - 1).astype(U)]
-        keys, hits = np.unique(keys, return_counts=True)
+        item, place, band = np.r_[item, item], np.r_[place, place], np.r_[band, band - 1]
+        _, group, hits = np.unique(item.astype(U) * span + band.astype(U), return_inverse=True, return_counts=True)
+        many = hits[group] >= need[item]
+        item, place, band = item[many], place[many], band[many]
+        # the windows that hold the q-gram
+        size, last = length[item], self.size[item] - length[item]
+        low = -(-np.maximum(0, place + Q - size) // STEP)
+        high = np.where(place >= last, count[item] - 1, place // STEP)
+        window, of = _ranges(base[item] + low, high - low + 1)
+        keys, hits = np.unique(window.astype(U) * span + np.repeat(band, of).astype(U), return_counts=True)
         w = (keys // span).astype(np.int64)
-        few = hits < self.need[w]
-        keys, w = keys[~few], w[~few]
-        low = (keys % span).astype(np.int64) * (self.edits[w] + 1) - WINDOW  # the band has the diagonals from here on
+        owner = self.owner[w]
+        few = hits < need[owner]
+        keys, w, owner = keys[~few], w[~few], owner[~few]
+        # the band has the diagonals of the window from here on
+        low = (keys % span).astype(np.int64) * (edits[owner] + 1) - self.size[owner] - WINDOW + self.start[w] - self.first[owner]
         cost, end = np.full(len(w), WINDOW), np.zeros(len(w), np.int64)
         for m, e in sorted(set(zip(self.length[w].tolist(), self.edits[w].tolist(), strict=True))):
             mine = np.flatnonzero((self.length[w] == m) & (self.edits[w] == e))
             for part in np.array_split(mine, -(-len(mine) // 4096)):
-                cost[part], end[part] = aligned(self.bytes[w[part], :m], data, low[part] - e, 4 * e + 2)
+                cost[part], end[part] = aligned(self._bytes(w[part])[:, :m], data, low[part] - e, 4 * e + 2)
         good = cost <= self.edits[w]
         w, end, cost = w[good], end[good], cost[good]
         return w, np.maximum(0, end - self.length[w]), end, cost
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers first, first + 1, ... of each of ``count``, one range after the other, and ``count``."""
+    return np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), count
+
+
 def aligned(pattern: np.ndarray, data: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Least edits between each pattern and a piece of ``data`` on the diagonals low .. low + width, and its end."""
     n, m = pattern.shape

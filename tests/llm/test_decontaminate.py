@@ -85,3 +85,26 @@ def test_empty(spark, documents):
     docs, items, _ = tables(spark, documents)
     assert D.benchmark_matches(docs.limit(0), items).collect() == []
     assert D.benchmark_matches(docs, items.limit(0)).collect() == []
+
+
+def folded(text):
+    return D.normalised(np.frombuffer(text, np.uint8))[0]
+
+
+@pytest.mark.parametrize("size", [64, 72, 100])
+def test_excerpts_at_every_offset(size):
+    rng = random.Random(4)
+    item = folded(phrase(rng, 110).encode()).tobytes()
+    index, (before, after) = D.Index([(3, item)], 16), (phrase(rng, 30).encode(), phrase(rng, 30).encode())
+    for at in range(len(item) - size + 1):
+        data = folded(before + b" q " + item[at : at + size] + b" q " + after)
+        want = {j for j in range(len(index.item)) if least_edits(index.bytes[j, : index.length[j]].tobytes(), data.tobytes()) <= index.edits[j]} if at % 16 == 0 else None
+        got = set(index.matches(data)[0].tolist())
+        assert got and (want is None or got == want)
+
+
+def test_copy_with_replaced_words():
+    rng = random.Random(8)
+    item = folded(phrase(rng, 110).encode()).tobytes()
+    copy = b"".join(item[at : at + 62] + b"0123456789" for at in range(0, len(item) - 72, 72))
+    assert len(D.Index([(3, item)], 16).matches(folded(b"start " + copy + b" end"))[0])
