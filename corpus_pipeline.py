@@ -6,10 +6,13 @@ Each stage takes (spark, docs, sf_dir); all but the last return the columns of `
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from graphloom.llm import decontaminate, jaccard_join, packing, quality_rules, queries, suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Names a row: a doc_id may be null or stand on several texts.
+ROW = "xxhash64(doc_id, text)"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +22,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; documents without words stay."""
-    stay = jaccard_join.jaccard_join(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One row of each component stays, the one with the smallest doc_id; documents without words all stay.
+
+    Rows are told apart by doc_id and text: texts that share a doc_id, or have none, stay unless something links them. A
+    null doc_id comes after all others. Of rows equal in both the first by lang, source and n_chars stays.
+    """
+    named = docs.withColumn("_row", F.expr(ROW))
+    found = jaccard_join.jaccard_join(named, "_row").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least")
+    stay = named.select("doc_id", "_row").distinct().join(found, "_row").groupBy("component_id").agg(least, F.max("n_shingles").alias("_n")).select("least._row", "_n")
+    place = F.row_number().over(Window.partitionBy("_row").orderBy("lang", "source", "n_chars"))
+    return named.join(stay, "_row").withColumn("_place", place).filter("_n = 0 or _place = 1").select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +42,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go, each row by its own text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, benchmark).select(COLUMNS)
+    return decontaminate.decontaminate(docs.withColumn("_row", F.expr(ROW)), benchmark, "_row").select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,23 @@ def test_all_is_packed(stages):
     for x in stages[4].collect():
         total[x.doc_id] += x.length
     assert total == whole and set(whole) == set(texts(stages[3]))
+
+
+def test_near_duplicates_with_null_and_repeated_keys(spark):
+    text = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), (7, text("c")), (7, text("d")), (8, text("d") + " more"), (9, text("a")), (7, text("c")), (10, ""), (10, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", f"s{i}", len(t or "")) for i, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert left.columns == docs.columns
+    got = sorted(((x.doc_id, x.text, x.source) for x in left.collect()), key=str)
+    b = next(x for x in got if x[1] and x[1].startswith("b"))
+    assert b in [(None, text("b"), "s1"), (None, text("b") + " more", "s2")]
+    assert got == sorted([b, (7, text("c"), "s3"), (7, text("d"), "s4"), (9, text("a"), "s6"), (10, "", "s8"), (10, "", "s9"), (None, None, "s10")], key=str)
+
+
+def test_benchmark_passages_by_row(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(1, "about " + item + " end"), (1, "no such passage"), (None, item), (None, "nor here")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.benchmark_passages(spark, docs, SF)
+    assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == sorted([(1, "no such passage"), (None, "nor here")], key=str)
