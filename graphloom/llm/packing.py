@@ -1,11 +1,13 @@
-"""Harmonic packing: pieces of 1/k of a sequence go k to a bin, each class on its own.
+"""Harmonic packing: lengths fall into classes (C / (k + 1), C / k] and a bin of class k takes k documents.
 
-The classes here are k = 1, 2, 4, ..., capacity: a document of n ids is cut into full sequences and then, longest first,
-into pieces of capacity / k. A bin of class k holds k pieces and is full to the last id. The last bin of a class, if it
-is not full, is divided into bins of 2**i pieces, whose lengths are powers of two and need no padding either.
+A document is first cut into full sequences of C ids; what is left, shorter than C, belongs to the class k = C // length.
+Every task fills bins of its own: the k-th document closes a bin of class k, and the room that the k lengths leave is
+filled from the next document, which is the only place where a document is cut once more. At the end of a task the
+documents of its open bins (one bin of each class at most) are laid end to end, cut at full sequences, and the last ids
+go into sequences that are powers of two long. So sequences have no padding but for rooms under ``LEAST`` ids.
 
-Every task cuts and counts on its own; only one count for each task and class is gathered to number the pieces, so bins
-fill across tasks without moving any piece, and no document, source or copy is ever a hot group.
+A task holds the ids of its open bins alone, about two for each of the square root of C classes. Between tasks only the
+number of sequences of each is gathered, so no document, source or copy is ever a hot group and no id is shuffled.
 """
 
 from __future__ import annotations
@@ -19,13 +21,18 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from .common import materialise, numbered, rows_of, small_batches
+from .common import materialise, rows_of, small_batches
 
 #: Distinct words, and parts of words, whose ids a task remembers; then it starts anew.
-WORDS_HELD = 150_000
+WORDS_HELD = 400_000
+#: Room of fewer ids is padded; a piece of a document would be too short to be of use there.
+LEAST = 16
 #: Words of these characters take the short way; the tokenizer does not change them but for their case.
 PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u02af]+")
+#: Marks that end a word and are a part of their own.
+MARKS = set(".,;:!?")
 #: Fixed value: how the tokenizer cuts lower-case text into parts.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -37,53 +44,61 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Remembered(dict):
+    """Values by key, made when they are first asked for."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
+
+
 class WordTokenizer:
     """Ids of texts by a lower-casing byte-level tokenizer that never joins across a space or a line end.
 
     The ids of words and of their parts are remembered. Words of Latin letters are cut into parts here and only new
-    parts go to the model; all other words go through the whole tokenizer.
+    parts go to the model; all other words, and those that may hold a special token, go through the whole tokenizer.
+    With ``literal`` the names of special tokens are text like other text; without, they are those tokens.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
         self.model = self.tokenizer.model
-        self.letters = {chr(b): c for b, c in byte_letters().items()}
-        self.table = str.maketrans(self.letters)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = None if literal or not special else re.compile(special)
+        self.table = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.words, self.parts = Remembered(self._word), Remembered(self._part)
 
     def _part(self, part: str) -> bytes:
         letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.table)
-        self.parts[part] = ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return ids
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word):
-            parts = self.parts
-            ids = b"".join([parts.get(x) or self._part(x) for x in PARTS.findall(word.lower())])
-        else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self.words[word] = ids
-        return ids
+        if word.isascii():  # most words are letters, or letters and a mark
+            if word.isalpha():
+                return self.parts[word.lower()]
+            if word[-1:] in MARKS and word[:-1].isalpha():
+                return self.parts[word[:-1].lower()] + self.parts[word[-1]]
+        if PLAIN.fullmatch(word) and not (self.special and self.special.search(word)):
+            return b"".join(map(self.parts.__getitem__, PARTS.findall(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         for held in (self.words, self.parts):
             if len(held) > WORDS_HELD:
                 held.clear()
-        known, word = self.words, self._word
-        out = []
-        for text in texts:
-            found = [known[w] if w in known else word(w) for w in text.replace("\n", " ").split(" ")]
-            out.append(np.frombuffer(b"".join(found), np.uint32))
-        return out
+        known = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(known, text.replace("\n", " ").split(" "))), np.uint32) for text in texts]
 
 
-def token_rows(batches, path: str, end: int | None) -> Iterator[tuple[int | None, np.ndarray]]:
+def token_rows(batches, path: str, end: int | None, literal: bool = False) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of each row of Arrow batches, in order; ``end`` closes each document."""
-    tokenizer, held, size = WordTokenizer(path), [], 0
+    tokenizer, held, size = WordTokenizer(path, literal), [], 0
 
     def flush():
         for (doc, _), ids in zip(held, tokenizer.ids([t for _, t in held]), strict=True):
@@ -98,62 +113,105 @@ def token_rows(batches, path: str, end: int | None) -> Iterator[tuple[int | None
     yield from flush()
 
 
-def cut_sizes(n: int, capacity: int) -> list[int]:
-    """Full sequences, then the powers of two that make up the rest, longest first."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-
-
-def bin_ranges(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, pieces per bin): full bins of each class, then its last bins."""
-    rows, base = [], 0
-    for length, n in sorted(counts.items(), reverse=True):
-        k, first = capacity // length, 0
-        for per_bin in (1 << b for b in range(k.bit_length() - 1, -1, -1)):
-            bins = (n - first) // per_bin
-            if bins:
-                rows.append((length, first, first + bins * per_bin, base, per_bin))
-                base, first = base + bins, first + bins * per_bin
-    return rows
+class Bins:
+    """The bins of one task. ``rows`` collects (doc_id, start, length, crc32, doc_tokens, sequence, offset)."""
+
+    def __init__(self, capacity: int, least: int = LEAST):
+        self.capacity, self.least = capacity, least
+        self.open: dict[int, list[tuple]] = {}
+        self.rows: list[tuple] = []
+        self.sequences = 0
+        #: The closed bin that has room: its sequence, the ids in it and its room.
+        self.room = (0, 0, 0)
+
+    def put(self, piece: tuple, n: int, sequence: int, offset: int) -> tuple:
+        """Places the first ``n`` ids of a piece (doc_id, start, ids, doc_tokens); what is left of it."""
+        doc, start, ids, total = piece
+        self.rows.append((doc, start, n, zlib.crc32(ids[:n]), total, sequence, offset))
+        return doc, start + n, ids[n:], total
+
+    def new(self) -> int:
+        self.sequences += 1
+        return self.sequences - 1
+
+    def fill(self, piece: tuple) -> tuple:
+        """Fills the room of the last closed bin with the start of a piece."""
+        sequence, offset, room = self.room
+        n = min(room, len(piece[2]))
+        if n:
+            piece = self.put(piece, n, sequence, offset)
+            self.room = (sequence, offset + n, room - n if room - n >= self.least else 0)
+        return piece
+
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
+        piece = (doc, 0, ids.astype("<u4", copy=False), len(ids))
+        while len(piece[2]) >= self.capacity:
+            piece = self.put(piece, self.capacity, self.new(), 0)
+        piece = self.fill(piece)
+        if not len(piece[2]):
+            return
+        k = self.capacity // len(piece[2])
+        held = self.open.setdefault(k, [])
+        held.append(piece)
+        if len(held) == k:
+            del self.open[k]
+            sequence, offset = self.new(), 0
+            for x in held:
+                self.put(x, len(x[2]), sequence, offset)
+                offset += len(x[2])
+            if self.capacity - offset >= self.least:
+                self.room = (sequence, offset, self.capacity - offset)
+
+    def finish(self) -> None:
+        """Lays the documents of the open bins end to end."""
+        pieces = [self.fill(x) for k in sorted(self.open) for x in self.open[k]]
+        self.open.clear()
+        left = sum(len(x[2]) for x in pieces)
+        sequence = offset = size = 0
+        for piece in pieces:
+            while len(piece[2]):
+                if offset == size:  # a full sequence, or in the end the powers of two that make up the rest
+                    size = self.capacity if left >= self.capacity else 1 << left.bit_length() - 1
+                    sequence, offset = self.new(), 0
+                n = min(size - offset, len(piece[2]))
+                piece = self.put(piece, n, sequence, offset)
+                offset, left = offset + n, left - n
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end: int = 2) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece of each row of ``docs``.
 
-    ``capacity`` is a power of two. A null or empty text is the end id alone. Every id lies in one piece; sequences
-    hold their pieces without gaps and need no padding: each is full or a power of two long. Repeated rows and null
-    keys are packed like others; other columns are not read; an empty table gives no pieces.
+    The ids are those of the plain tokenizer: the name of a special token in a text is that token. A null or empty text
+    is the end id alone. Every id lies in one piece; sequences are numbered from 0 and hold their pieces without gaps.
+    A sequence is full but for rooms under LEAST ids, or a power of two long. Repeated rows and null keys are packed
+    like others; other columns are not read; an empty table gives no pieces.
     """
     small_batches(docs.sparkSession)
-    if capacity & (capacity - 1):
-        raise ValueError("capacity must be a power of two")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("local", pa.int64())])
+    if capacity < 1:
+        raise ValueError("capacity must be positive")
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence", "offset")
+    schema = pa.schema([(x, pa.int64()) for x in names])
 
     def run(batches):
-        local: dict[int, int] = {}
-        held = []
+        bins = Bins(capacity)
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*bins.rows, strict=True)], schema=schema)
 
         for doc, ids in token_rows(batches, tokenizer, end):
-            raw, start = ids.astype("<u4").tobytes(), 0
-            for n in cut_sizes(len(ids), capacity):
-                held.append((doc, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), len(ids), local.get(n, 0)))
-                local[n] = local.get(n, 0) + 1
-                start += n
-            if len(held) > 20_000:
+            bins.add(doc, ids)
+            if len(bins.rows) > 20_000:
                 yield out()
-                held.clear()
-        if held:
+                bins.rows.clear()
+        bins.finish()
+        if bins.rows:
             yield out()
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    pieces = source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, local long")
-    pieces = materialise(pieces.withColumn("part", F.spark_partition_id()))
-    counts = {x.length: x.n for x in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each class
-    bins = docs.sparkSession.createDataFrame(bin_ranges(counts, capacity), "length long, first long, last long, base long, per_bin long")
-    placed = numbered(pieces, "length", "rank").join(F.broadcast(bins), "length").filter("rank >= first and rank < last")
-    sequence = F.expr("base + (rank - first) div per_bin").alias("sequence_id")
-    offset = F.expr("(rank - first) % per_bin * length").alias("offset")
-    return placed.select(F.col("doc_id").alias(key), "start", "length", "ids_crc32", "doc_tokens", sequence, offset)
+    pieces = materialise(source.mapInArrow(run, ", ".join(f"{x} long" for x in names)).withColumn("part", F.spark_partition_id()))
+    # one row for each task: the sequences before its own
+    counts = pieces.groupBy("part").agg((F.max("sequence") + 1).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    sequence = (F.col("first") + F.col("sequence")).alias("sequence_id")
+    return pieces.join(first, "part").select(F.col("doc_id").alias(key), "start", "length", "ids_crc32", "doc_tokens", sequence, "offset")
