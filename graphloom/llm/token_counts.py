@@ -1,98 +1,113 @@
 """Token counts: a separator scan over flat token files that have no index.
 
-A token file is a run of ids without any boundary but the end-of-document id, held as numbered blocks of bytes; a
-document may span blocks and a block many documents. Each block is scanned on its own for the end id; a prefix scan over
-the blocks of a file gives every block the number of documents and ids before it and the place where its first
-document began, so that the pieces meet.
+A token file is a run of little-endian ids without any boundary but the end-of-document id. The scan plans byte ranges
+from the lengths of the files alone, and each task reads its ranges by position, so a file may have any size; a document
+may span ranges and a range hold many documents. Each range is searched on its own for the end id; a prefix scan over
+the ranges of a file gives every range the number of documents and ids before it and the place where its first document
+began, so that the pieces meet.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, small_batches
+from .common import materialise, partitions, shared_folder, small_batches
 from .packing import token_rows
 
-#: Ids of a block.
-BLOCK = 1 << 18
+#: Ids of a range.
+BLOCK = 1 << 20
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(blocks, order): each task writes its documents as one flat file of little-endian unsigned 32-bit ids.
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local, or any that Arrow knows, such as hdfs and s3) and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
 
-    ``blocks`` has (file, block, data); ``order`` has (file, ordinal, key), the document that was written n-th. A null
-    or empty text is the end id alone. Rows may repeat; other columns are not read.
+
+def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str, key: str = "doc_id", text: str = "text", width: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(files, order): each task writes its documents as one flat file in ``folder``, which all executors share.
+
+    ``files`` has (file, bytes); ``order`` has (file, ordinal, key), the document that was written n-th. A null or empty
+    text is the end id alone. The name of a special token in a text is text like other, so no text holds the end id.
+    Rows may repeat; other columns are not read. A task that runs again writes a file of its own: only the files that
+    are listed count.
     """
-    schema = pa.schema([("block", pa.int64()), ("data", pa.binary()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
+    schema = pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches):
-        held, size, number, ordinal, rows = [], 0, 0, 0, []
+        name, ordinal, size, docs_ = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin", 0, 0, []
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-        for doc, ids in token_rows(batches, tokenizer, end):
-            held.append(ids.astype("<u4").tobytes())
-            size += len(ids)
-            rows.append((None, None, ordinal, doc))
-            ordinal += 1
-            if size >= block:
-                whole = b"".join(held)
-                for at in range(0, size - block + 1, block):
-                    rows.append((number, whole[4 * at : 4 * (at + block)], None, None))
-                    number += 1
-                held, size = [whole[4 * (size - size % block) :]], size % block
+            n = len(docs_)
+            return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.nulls(n, pa.int64()), pa.array(range(ordinal - n, ordinal), pa.int64()), pa.array(docs_, pa.int64())], schema=schema)
+
+        file = None
+        for doc, ids in token_rows(batches, tokenizer, end, literal=True):
+            if file is None:
+                where, path = store(name)
+                where.create_dir(path.rpartition("/")[0], recursive=True)
+                file = where.open_output_stream(path)
+            data = ids.astype(f"<u{width // 8}").tobytes()
+            file.write(data)
+            size, ordinal = size + len(data), ordinal + 1
+            docs_.append(doc)
+            if len(docs_) >= 20_000:
                 yield out()
-                rows.clear()
-        if size:
-            rows.append((number, b"".join(held), None, None))
-        if rows:
-            yield out()
+                docs_.clear()
+        if file is not None:
+            file.close()
+            if docs_:
+                yield out()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], schema=schema)
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    written = source.mapInArrow(run, "block long, data binary, ordinal long, doc_id long").withColumn("file", F.spark_partition_id().cast("long"))
-    written = materialise(written)
-    return written.filter("data is not null").select("file", "block", "data"), written.filter("data is null").select("file", "ordinal", F.col("doc_id").alias(key))
+    written = materialise(source.mapInArrow(run, "file string, bytes long, ordinal long, doc_id long"))
+    return written.filter("bytes is not null").select("file", "bytes"), written.filter("bytes is null").select("file", "ordinal", F.col("doc_id").alias(key))
 
 
-def read_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """(file string, block, data): the blocks of the flat token files under ``path``, of at most 2 GB each."""
+def token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes) of the flat token files under ``path``; only their lengths are read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                view = memoryview(data.as_buffer())
-                for n, at in enumerate(range(0, len(view), 4 * block)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([bytes(view[at : at + 4 * block])], pa.binary())], names=["file", "block", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
+def scan(files: DataFrame, end: int, width: int = 32, block: int = BLOCK) -> DataFrame:
+    """(file, ordinal, start, n_tokens) of each document of the flat token files (file, bytes).
 
-
-def scan(blocks: DataFrame, end: int, width: int = 32) -> DataFrame:
-    """(file, ordinal, start, n_tokens) of each document of the files whose ``blocks`` (file, block, data) are given.
-
-    ``n_tokens`` counts the end id; ids behind the last end id of a file are a document without one. ``width`` is the
-    bits of an id. Empty and null blocks hold nothing; block numbers may have gaps.
+    ``width`` is the bits of an id, ``block`` the ids of a range. ``n_tokens`` counts the end id; ids behind the last end
+    id of a file are a document without one. Bytes behind the last whole id, empty files and null lengths hold nothing.
     """
-    kind = {16: "<u2", 32: "<u4", 64: "<u8"}[width]
-    file = blocks.schema["file"].dataType.simpleString()
-
-    def ends(batches):
+    kind, size = {16: "<u2", 32: "<u4", 64: "<u8"}[width], width // 8
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("ids", pa.int64()), ("n_ends", pa.int64()), ("last_end", pa.int64()), ("ends", pa.list_(pa.int64()))])
+    step = block * size
+    ranges = files.filter(f"bytes >= {size}").select("file", F.expr(f"bytes div {size} * {size}").alias("whole"), F.explode(F.expr(f"sequence(0L, bytes div {size} * {size} - 1, {step}L)")).alias("at"))
+    ranges = ranges.select("file", F.expr(f"at div {step}").alias("block"), "at", F.expr(f"least(whole - at, {step})").alias("n"))
+
+    def ends(batches) -> Iterator[pa.RecordBatch]:
+        name = file = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = batch.column(2)[i]
-                ids = np.frombuffer(data.as_buffer(), kind) if data.is_valid else np.zeros(0, kind)
-                at = np.flatnonzero(ids == end) + 1
-                one = [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([len(ids)], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([int(at[-1]) if len(at) else None], pa.int64()), pa.array([at.tolist()], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(one, names=["file", "block", "ids", "n_ends", "last_end", "ends"])
-
-    scanned = materialise(blocks.select("file", "block", "data").mapInArrow(ends, f"file {file}, block long, ids long, n_ends long, last_end long, ends array<long>"))
-    # the prefix scan runs over one small row for each block; the ends stay where they are
+            for path, number, at, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if path != name:
+                    where, inner = store(path)
+                    name, file = path, where.open_input_file(inner)
+                ids = np.frombuffer(file.read_at(n, at), kind)
+                if len(ids) * size != n:
+                    raise OSError(f"{path} is shorter than listed")
+                found = np.flatnonzero(ids == end) + 1
+                one = [[path], [number], [len(ids)], [len(found)], [int(found[-1]) if len(found) else None], [found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(one, schema.types, strict=True)], schema=schema)
+
+    dealt = ranges.repartition(partitions(files.sparkSession), F.xxhash64("file", F.expr("block div 4"))).sortWithinPartitions("file", "block")
+    scanned = materialise(dealt.mapInArrow(ends, "file string, block long, ids long, n_ends long, last_end long, ends array<long>"))
+    # the prefix scan runs over one small row for each range; the ends stay where they are
     upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = scanned.select("file", "block", "ids", "n_ends", "last_end")
     sums = sums.withColumn("base", F.coalesce(F.sum("ids").over(upto), F.lit(0))).withColumn("first", F.coalesce(F.sum("n_ends").over(upto), F.lit(0)))
@@ -107,7 +122,7 @@ def scan(blocks: DataFrame, end: int, width: int = 32) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(key, n_tokens) of each row of ``docs``: written as flat token files, found again by the scan."""
+    """(key, file, ordinal, start, n_tokens) of each row of ``docs``: written as flat token files, found by the scan."""
     small_batches(docs.sparkSession)
-    blocks, order = write_tokens(docs, tokenizer, end, key, text, block)
-    return order.join(scan(blocks, end), ["file", "ordinal"]).select(key, "file", "ordinal", "start", "n_tokens")
+    files, order = write_tokens(docs, tokenizer, end, shared_folder(docs.sparkSession, "tokens"), key, text)
+    return order.join(scan(files, end, block=block), ["file", "ordinal"]).select(key, "file", "ordinal", "start", "n_tokens")
