@@ -37,7 +37,7 @@ def op3_kneser_ney_perplexity(spark: SparkSession, folder: str) -> DataFrame:
 def op4_warc_chunked_records(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc.write_archives(_table(spark, folder, "pages"), path)
-    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op5_jump_hash_sharding(spark: SparkSession, folder: str) -> DataFrame:

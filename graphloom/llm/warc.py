@@ -17,10 +17,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import partitions, small_batches
+from .common import materialise, partitions, small_batches
 
 #: Bytes of payload in a chunk.
 CHUNK = 1 << 20
+#: The most repeated digests that are broadcast (about 100 bytes each).
+DIGESTS = 500_000
+#: The places that a repeated digest is dealt to beyond that.
+SALTS = 32
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNKS = pa.schema([("archive", pa.int32()), ("record_id", pa.string()), ("chunk", pa.int32()), ("data", pa.binary()), ("digest", pa.string())])
 _RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("intact", pa.bool_())])
@@ -51,9 +55,16 @@ def chunked(pages: DataFrame, archives: int, key: str = "page_id", url: str = "u
     small_batches(pages.sparkSession)
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.cast("binary").alias("payload")).withColumn("sha", F.sha1("payload"))
-    first = rows.filter(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # only digests that repeat are joined; the small side is the repeated digests
-    rows = rows.join(first, "sha", "left").withColumn("refers", F.expr(f"if(octet_length(payload) >= {least} and first <> coalesce(page_id, -1 - first), first, null)"))
+    first = rows.filter(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = materialise(first.filter("first is not null").drop("n"))
+    # payloads stay where they are while the repeated digests are few; more of them are met in a shuffle of all rows,
+    # with each digest in SALTS places, so that a page that is repeated without end is no hot key
+    if first.count() <= DIGESTS:
+        rows = rows.join(F.broadcast(first), "sha", "left")
+    else:
+        salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["sha", "salt"], "left")
+    rows = rows.withColumn("refers", F.expr(f"if(octet_length(payload) >= {least} and first <> coalesce(page_id, -1 - first), first, null)"))
 
     def run(batches):
         task, place = TaskContext.get().partitionId(), 0
@@ -105,12 +116,13 @@ class _Record:
         http, _, rest = rest.partition(b"\r\n\r\n")
         self.size = int(re.search(rb"Content-Length: (\d+)", http)[1])
         self.left = int(self.fields["Content-Length"]) - len(http) - 4
-        self.expected, self.sha, self.next, self.tail = self.left, hashlib.sha1(), 1, b""
+        self.sha, self.read, self.tail = hashlib.sha1(), 0, b""
         self.feed(rest)
 
     def feed(self, data: bytes) -> None:
         view = memoryview(data)
         self.sha.update(view[: self.left])
+        self.read += min(len(view), self.left)
         if len(view) > self.left:
             self.tail += bytes(view[self.left :])
         self.left = max(0, self.left - len(view))
@@ -119,14 +131,18 @@ class _Record:
         kind, digest = self.fields["WARC-Type"], self.fields["WARC-Payload-Digest"].removeprefix("sha1:")
         page = self.fields["WARC-Record-ID"].split(":")[2]
         refers = self.fields.get("WARC-Refers-To", "").rpartition(":")[2].rstrip(">")
-        intact = self.left == 0 and self.tail == b"\r\n\r\n" and (kind == "revisit" or base32(self.sha.digest()) == digest)
-        return int(page) if page else None, self.size, digest, kind, int(refers) if refers else None, self.fields.get("WARC-Target-URI"), intact
+        size, found = self.size, digest
+        if kind == "response":  # what was read; a revisit has no payload to look at
+            size, found = self.read, base32(self.sha.digest())
+        intact = self.left == 0 and self.tail == b"\r\n\r\n" and size == self.size and found == digest
+        return int(page) if page else None, size, found, kind, int(refers) if refers else None, self.fields.get("WARC-Target-URI"), intact
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, intact) of each record under ``path``.
 
-    ``intact``: the length and end are right and, for a response, so is the digest of the bytes read.
+    Length and digest of a response are those of the bytes read, of a revisit those that its header names. ``intact``:
+    the record ends as it should and, for a response, length and digest are those of its header.
     """
     table = spark.read.parquet(path)
     ordered = table.select("record_id", "chunk", "data").repartition(partitions(spark), "record_id").sortWithinPartitions("record_id", "chunk")

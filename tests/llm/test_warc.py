@@ -1,6 +1,9 @@
 import base64
 import hashlib
 
+import pytest
+
+from graphloom.llm import warc
 from graphloom.llm.warc import chunked, read_archives, write_archives
 
 BIG = "é\r\n\r\n" * 700
@@ -11,7 +14,9 @@ def table(spark, rows=ROWS):
     return spark.createDataFrame([(*r, "e") for r in rows], "page_id long, url string, html string, data string")
 
 
-def test_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("digests", [warc.DIGESTS, 0])
+def test_round_trip(spark, tmp_path, monkeypatch, digests):
+    monkeypatch.setattr(warc, "DIGESTS", digests)
     for chunk in (5, 1000, 1 << 20):
         path = str(tmp_path / f"w{chunk}")
         write_archives(table(spark), path, archives=3, chunk=chunk)
@@ -45,3 +50,22 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "w")
     write_archives(table(spark).limit(0), path)
     assert read_archives(spark, path).collect() == []
+
+
+def test_payload_of_many_chunks(spark, tmp_path):
+    path, body = str(tmp_path / "w"), "0123456789é" * 300_000
+    write_archives(table(spark, [(1, "u", body), (2, "v", body), (3, "w", body + "x")]), path)
+    assert spark.read.parquet(path).filter("length(data) > 1048580").count() == 0
+    assert spark.read.parquet(path).groupBy("record_id").count().agg({"count": "max"}).first()[0] == 6
+    got = {x.page_id: x for x in read_archives(spark, path).collect()}
+    assert [(got[i].record_type, got[i].intact) for i in (1, 2, 3)] == [("response", True), ("revisit", True), ("response", True)]
+    assert got[3].payload_bytes == len(body.encode()) + 1 and got[2].payload_digest == got[1].payload_digest
+
+
+def test_damage_is_seen(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "w")
+    hurt = F.expr("if(chunk = 1, encode(replace(decode(data, 'utf-8'), 'alone', 'a1one'), 'utf-8'), data)")
+    chunked(table(spark, [(1, "u", "alone"), (2, "u", "whole")]), 1).withColumn("data", hurt).write.parquet(path)
+    assert {x.page_id: x.intact for x in read_archives(spark, path).collect()} == {1: False, 2: True}
