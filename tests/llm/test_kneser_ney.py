@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from graphloom.llm.kneser_ney import perplexity_filter
+from graphloom.llm import kneser_ney
+from graphloom.llm.kneser_ney import HELD_OUT, perplexity_filter
 
 ORDER = 5
 
@@ -51,21 +52,28 @@ def rows():
     return [*out, (100, "#### $$$ @@@ 0101 " * 5, "en"), (101, None, "en"), (102, "", None), (103, "no trusted text", "fr"), (None, "the of", "en"), (104, "the stone", "en"), (104, "the stone", "en")]
 
 
-@pytest.mark.parametrize("model_rows", [10**6, 0])
-def test_against_definitions(spark, documents, model_rows):
-    data = rows()
-    trusted = spark.createDataFrame([(i, "e") for i in range(40)] + [(None, "e"), (3, "e")], "doc_id long, text string")
-    got = perplexity_filter(documents(data), trusted, model_rows=model_rows).collect()
+@pytest.mark.parametrize(("hot", "size"), [(1 << 18, 6 << 20), (0, 300), (100, 300)])
+def test_against_definitions(spark, documents, monkeypatch, hot, size):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(kneser_ney, "EVENT_BYTES", size)
+    data = [*rows(), (105, "the stone of water and " * 700, "en"), (106, "a" * 66_000, "de")]
+    trusted = spark.createDataFrame([(i, "e") for i in range(60)] + [(None, "e"), (3, "e")], "doc_id long, text string")
+    got = perplexity_filter(documents(data), trusted, hot=hot).collect()
     assert len(got) == len(data)
-    models = {lang: model([t.encode() for i, t, k in data if k == lang and i is not None and i < 40]) for lang in ("en", "de")}
+    held_out = {x[0] for x in spark.range(60).filter(F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0).collect()}
+    models = {lang: model([t.encode() for i, t, k in data if k == lang and i is not None and i < 60 and i not in held_out]) for lang in ("en", "de")}
     texts = {i: (t or "").encode() for i, t, _ in data}
+    limit = {lang: max(perplexity(models[lang], texts[i]) for i in held_out if data[i][2] == lang) for lang in models}
     for x in got:
         if x.lang in models:
-            assert x.perplexity == pytest.approx(perplexity(models[x.lang], texts[x.doc_id]), rel=1e-5)
+            assert x.perplexity == pytest.approx(perplexity(models[x.lang], texts[x.doc_id]), rel=1e-9)
+            assert x.threshold == pytest.approx(limit[x.lang], rel=1e-9)
+            assert x.kept == (x.perplexity <= x.threshold)
         else:
             assert x.perplexity is None and x.threshold is None and x.kept
     by = {x.doc_id: x for x in got}
-    assert not by[100].kept and all(by[i].kept for i in range(40))
+    assert not by[100].kept and not by[106].kept and sum(by[i].kept for i in range(60)) > 30
 
 
 def test_empty(spark, documents):
