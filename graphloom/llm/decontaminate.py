@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE_BYTES, Rolling, U, rows_of, slices, small_batches
+from .common import SLICE_BYTES, Rolling, U, ranges, rows_of, slices, small_batches
 
 Q = 12
 #: The longest window.
@@ -58,11 +58,16 @@ class Index:
     """The q-grams of all items in order, with the items and places that hold them, and the windows of the items."""
 
     def __init__(self, items: list[tuple[int, bytes]], per_edit: int):
-        texts = [normalised(np.frombuffer(b" " + text + b" ", np.uint8))[0][1:-1] if text else np.zeros(0, np.uint8) for _, text in items]
+        texts = [normalised(np.frombuffer(b" " + text + b" ", np.uint8))[0][:-1] if text else np.zeros(0, np.uint8) for _, text in items]
         sizes = np.array([len(x) for x in texts], np.int64)
         self.first = np.cumsum(np.r_[0, sizes])[:-1]
         self.text = np.concatenate([*texts, np.zeros(WINDOW, np.uint8)])
         self.size = sizes
+        #: Items under q bytes have no q-gram: they match texts that are nothing else.
+        self.short: dict[bytes, list[int]] = {}
+        for (item, _), x in zip(items, texts, strict=True):
+            if 0 < len(x) < Q:
+                self.short.setdefault(x.tobytes().strip(), []).append(item)
         #: For each of SIZES: bytes, edits, shared q-grams, windows and first window of each item; an item that is shorter is one window.
         self.scales, total, kept = [], 0, []
         for most, shorter in zip(SIZES, [True] + [False] * (len(SIZES) - 1), strict=True):
@@ -106,7 +111,7 @@ class Index:
         where = np.minimum(np.searchsorted(self.gram, grams[at]), len(self.gram) - 1)
         same = self.gram[where] == grams[at]
         at, where = at[same], where[same]
-        entry, count = _ranges(self.bounds[where], self.bounds[where + 1] - self.bounds[where])
+        entry, count = ranges(self.bounds[where], self.bounds[where + 1] - self.bounds[where])
         return np.repeat(at, count), self.holder[entry].astype(np.int64), self.place[entry].astype(np.int64)
 
     def matches(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +136,7 @@ class Index:
         size, last = length[item], self.size[item] - length[item]
         low = -(-np.maximum(0, place + Q - size) // STEP)
         high = np.where(place >= last, count[item] - 1, place // STEP)
-        window, of = _ranges(base[item] + low, high - low + 1)
+        window, of = ranges(base[item] + low, high - low + 1)
         keys, hits = np.unique(window.astype(U) * span + np.repeat(band, of).astype(U), return_counts=True)
         w = (keys // span).astype(np.int64)
         owner = self.owner[w]
@@ -149,11 +154,6 @@ class Index:
         return w, np.maximum(0, end - self.length[w]), end, cost
 
 
-def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers first, first + 1, ... of each of ``count``, one range after the other, and ``count``."""
-    return np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), count
-
-
 def aligned(pattern: np.ndarray, data: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Least edits between each pattern and a piece of ``data`` on the diagonals low .. low + width, and its end."""
     n, m = pattern.shape
@@ -173,37 +173,61 @@ def aligned(pattern: np.ndarray, data: np.ndarray, low: np.ndarray, width: int)
     return cost[np.arange(n), best], low + best + m
 
 
+def _found(index: Index, rows) -> Iterator[list[tuple]]:
+    """[(row, key, item, first byte, end byte, edits)] of the regions in ``rows`` (key, text), group by group."""
+    for group in slices(_pieces(rows)):
+        data = np.frombuffer(b"\n".join(t for _, t in group) + b"\n", np.uint8)
+        bounds = np.cumsum([0, *(len(t) + 1 for _, t in group)])
+        folded, place = normalised(data)
+        # texts are apart by more edits than any window allows
+        piece = np.searchsorted(bounds, place, side="right") - 1
+        cuts = np.searchsorted(piece, np.arange(len(group) + 1))
+        out = []
+        for o in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(cuts) <= Q)).tolist() if index.short else ():
+            (row, key, base), text = group[o]
+            if base == 0:
+                out += [(row, key, item, 0, len(text), 0) for item in index.short.get(folded[cuts[o] : cuts[o + 1]].tobytes().strip(), ())]
+        spread = np.full(len(folded) + WINDOW * len(group), 1, np.uint8)
+        slot = np.arange(len(folded)) + piece * WINDOW
+        spread[slot] = folded
+        w, start, end, cost = index.matches(spread)
+        if len(w):
+            owner = np.searchsorted(slot[np.minimum(cuts[:-1], len(slot) - 1)], np.maximum(end - 1, 0), side="right") - 1
+            near = lambda x: place[np.clip(np.searchsorted(slot, x), 0, len(slot) - 1)]  # noqa: E731, B023
+            for o, item, a, b, c in zip(owner.tolist(), index.item[w].tolist(), near(start).tolist(), near(np.maximum(end - 1, 0)).tolist(), cost.tolist(), strict=True):
+                (row, key, base), text = group[o]
+                out.append((row, key, item, base + max(0, a - int(bounds[o])), base + min(len(text), b + 1 - int(bounds[o])), c))
+        if out:
+            yield out
+
+
 def _searched(index, schema: pa.Schema):
     def run(batches):
-        index_ = index.value
-        pieces = _pieces(rows_of(batches, "doc_id", "text"))
-        for group in slices(pieces):
-            data = np.frombuffer(b"\n".join(t for _, t in group) + b"\n", np.uint8)
-            bounds = np.cumsum([0, *(len(t) + 1 for _, t in group)])
-            folded, place = normalised(data)
-            # texts are apart by more edits than any window allows
-            piece = np.searchsorted(bounds, place, side="right") - 1
-            cuts = np.searchsorted(piece, np.arange(len(group) + 1))
-            gap = WINDOW
-            spread = np.full(len(folded) + gap * len(group), 1, np.uint8)
-            slot = np.arange(len(folded)) + piece * gap
-            spread[slot] = folded
-            w, start, end, cost = index_.matches(spread)
-            if not len(w):
-                continue
-            owner = np.searchsorted(slot[np.minimum(cuts[:-1], len(slot) - 1)], np.maximum(end - 1, 0), side="right") - 1
-            near = lambda x: place[np.clip(np.searchsorted(slot, x), 0, len(slot) - 1)]
-            rows = {}
-            for o, item, a, b, c in zip(owner.tolist(), index_.item[w].tolist(), near(start).tolist(), near(np.maximum(end - 1, 0)).tolist(), cost.tolist(), strict=True):
-                (row, doc, base), text = group[o]
-                a, b = base + max(0, a - int(bounds[o])), base + min(len(text), b + 1 - int(bounds[o]))
-                rows.setdefault((row, doc, item), []).append((a, b, c))
-            out = [(doc, item, min(a for a, _, _ in x), max(b for _, b, _ in x), len(x), min(c for _, _, c in x)) for (_, doc, item), x in rows.items()]
+        for found in _found(index.value, rows_of(batches, "doc_id", "text")):
+            rows: dict[tuple, list] = {}
+            for row, key, item, *region in found:
+                rows.setdefault((row, key, item), []).append(region)
+            out = [(key, item, min(a for a, _, _ in x), max(b for _, b, _ in x), len(x), min(c for _, _, c in x)) for (_, key, item), x in rows.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
 
 
+def _clean(index, text: str):
+    """The rows of each batch in which nothing is found."""
+
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            body = batch.column(batch.schema.get_field_index(text)).cast(pa.string())
+            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), body], names=["row", "text"])
+            for found in _found(index.value, rows_of([numbered], "row", "text")):
+                keep[[x[1] for x in found]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _pieces(rows) -> Iterator[tuple]:
     """((row, key, first byte), bytes); long texts in overlapping pieces."""
     for row, (key, text) in enumerate(rows):
@@ -211,31 +235,43 @@ def _pieces(rows) -> Iterator[tuple]:
             yield (row, key, at), (text or b"")[at : at + SLICE_BYTES + 4 * WINDOW]
 
 
+def _indexes(benchmark: DataFrame, item: str, item_text: str, per_edit: int) -> list:
+    """Broadcast indexes of about INDEX_BYTES of the benchmark each; the smallest holds no item."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    passes = max(1, -(-int(total) // INDEX_BYTES))
+    parts = (items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i) if passes > 1 else items for i in range(passes))
+    return [spark.sparkContext.broadcast(Index([(x.item_id, x.text.encode()) for x in part.collect()], per_edit)) for part in parts]
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", per_edit: int = PER_EDIT) -> DataFrame:
     """(key, item_id, first_byte, end_byte, windows, edits): the regions of each document that match an item.
 
     Rows are only for documents that match; a document row gives one row for each item it matches (more for a text over
-    128 KiB that holds it in several pieces). Null and empty texts match nothing; items under 12 normalised bytes are never
-    found. Repeated rows come out repeatedly. Other columns are not read. An empty benchmark or table gives no rows.
+    128 KiB that holds it in several pieces). Null and empty texts and items match nothing. An item under 12 normalised
+    bytes has no q-gram; it matches the texts that are that item and nothing else. Repeated rows come out repeatedly.
+    Other columns are not read. An empty benchmark or table gives no rows. A benchmark of more than INDEX_BYTES takes a
+    scan of ``docs`` for each INDEX_BYTES.
     """
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    passes = max(1, -(-int(total) // INDEX_BYTES))
     schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "item_id", "first_byte", "end_byte", "windows", "edits")])
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = None
-    for i in range(passes):  # each pass holds about INDEX_BYTES of the benchmark
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i) if passes > 1 else items
-        rows = [(x.item_id, x.text.encode()) for x in part.collect()]
-        index = spark.sparkContext.broadcast(Index(rows, per_edit))
+    for index in _indexes(benchmark, item, item_text, per_edit):
         one = texts.mapInArrow(_searched(index, schema), "doc_id long, item_id long, first_byte long, end_byte long, windows long, edits long")
         found = one if found is None else found.unionByName(one)
     return found.withColumnRenamed("doc_id", key)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that match no benchmark item. Rows with a null key are judged by key and so stay."""
-    bad = benchmark_matches(docs, benchmark, key, text, **options).select(key).distinct()
-    return docs.join(bad, key, "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", per_edit: int = PER_EDIT) -> DataFrame:
+    """The rows of ``docs`` that match no benchmark item, with all their columns.
+
+    Each row is judged by its own text, whatever its key; rows without text stay. The texts are scanned once: the parts
+    of a benchmark of more than INDEX_BYTES filter the rows one after the other in the same tasks, and nothing moves.
+    """
+    small_batches(docs.sparkSession)
+    left = docs
+    for index in _indexes(benchmark, item, item_text, per_edit):
+        left = left.mapInArrow(_clean(index, text), docs.schema)
+    return left

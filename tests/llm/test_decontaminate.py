@@ -56,7 +56,7 @@ def tables(spark, documents):
     items = [(i, phrase(rng, 60)) for i in range(12)] + [(50, None), (51, ""), (52, "tiny")]
     rows = [(i, phrase(rng, 80) + (" " + items[i][1] + " " if i < 12 and i % 2 else "") + phrase(rng, 40)) for i in range(40)]
     rows += [(100, items[0][1].upper().replace(" ", " \n ")), (101, None), (102, ""), (103, "tiny"), (None, items[2][1]), (104, items[4][1]), (104, items[4][1]), (105, phrase(rng, 400_000) + items[6][1] + phrase(rng, 10))]
-    want = {(i, i) for i in range(1, 12, 2)} | {(100, 0), (None, 2), (104, 4), (105, 6)}
+    want = {(i, i) for i in range(1, 12, 2)} | {(100, 0), (None, 2), (104, 4), (105, 6), (103, 52)}
     return documents(rows), spark.createDataFrame([(*x, "e") for x in items], "item_id long, text string, doc_id string"), want
 
 
@@ -78,7 +78,17 @@ def test_decontaminate_drops_rows(spark, documents):
     docs, items, want = tables(spark, documents)
     left = D.decontaminate(docs, items)
     assert left.columns[0] == "doc_id" and set(left.columns) == set(docs.columns)
-    assert {x.doc_id for x in left.select("doc_id").collect()} == {x.doc_id for x in docs.collect()} - {d for d, _ in want if d is not None}
+    assert {x.doc_id for x in left.select("doc_id").collect()} == {x.doc_id for x in docs.collect()} - {d for d, _ in want}
+
+
+@pytest.mark.parametrize("index_bytes", [16 << 20, 4000])
+def test_rows_are_judged_by_their_own_text(spark, documents, monkeypatch, index_bytes):
+    monkeypatch.setattr(D, "INDEX_BYTES", index_bytes)
+    _, items, _ = tables(spark, documents)
+    passage = next(x.text for x in items.collect() if x.item_id == 3)
+    rows = [(None, passage), (None, "nothing of it"), (7, passage), (7, "clean"), (7, None), (8, "a tiny thing"), (8, " Tiny! ")]
+    left = D.decontaminate(documents(rows), items)
+    assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == sorted([(None, "nothing of it"), (7, "clean"), (7, None), (8, "a tiny thing")], key=str)
 
 
 def test_empty(spark, documents):
