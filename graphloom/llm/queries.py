@@ -62,7 +62,7 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
-    counted = token_counts.token_counts(_table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), END_OF_TEXT)
+    counted = token_counts.token_counts(_table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), END_OF_TEXT, width=16)  # 49408 ids
     return counted.select("doc_id", "n_tokens")
 
 

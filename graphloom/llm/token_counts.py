@@ -56,6 +56,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str, key: st
                 where, path = store(name)
                 where.create_dir(path.rpartition("/")[0], recursive=True)
                 file = where.open_output_stream(path)
+            if len(ids) and int(ids.max()) >> width:
+                raise ValueError(f"an id does not fit into {width} bits")
             data = ids.astype(f"<u{width // 8}").tobytes()
             file.write(data)
             size, ordinal = size + len(data), ordinal + 1
@@ -121,8 +123,8 @@ def scan(files: DataFrame, end: int, width: int = 32, block: int = BLOCK) -> Dat
     return closed.unionByName(rest)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", width: int = 32, block: int = BLOCK) -> DataFrame:
     """(key, file, ordinal, start, n_tokens) of each row of ``docs``: written as flat token files, found by the scan."""
     small_batches(docs.sparkSession)
-    files, order = write_tokens(docs, tokenizer, end, shared_folder(docs.sparkSession, "tokens"), key, text)
-    return order.join(scan(files, end, block=block), ["file", "ordinal"]).select(key, "file", "ordinal", "start", "n_tokens")
+    files, order = write_tokens(docs, tokenizer, end, shared_folder(docs.sparkSession, "tokens"), key, text, width)
+    return order.join(scan(files, end, width, block), ["file", "ordinal"]).select(key, "file", "ordinal", "start", "n_tokens")
