@@ -60,3 +60,29 @@ def geohash(p: Column, precision: int) -> Column:
             value = value * 2 + F.shiftright(source, n - 1 - at).bitwiseAND(F.lit(1).cast("long"))
         digits.append(F.substr(F.lit(DIGITS), value.cast("int") + 1, F.lit(1)))
     return F.concat(*digits)
+
+
+def point_with_height(latitude, longitude, height) -> Column:
+    """A point with metres over the ground."""
+    flat, h = point(latitude, longitude), height if isinstance(height, Column) else F.lit(height)
+    return F.when(flat.isNotNull(), F.struct(flat["latitude"].alias("latitude"), flat["longitude"].alias("longitude"), h.cast("double").alias("height")))
+
+
+#: Accessors of a point; x and y are longitude and latitude.
+COMPONENTS = {
+    "x": lambda p: p["longitude"],
+    "y": lambda p: p["latitude"],
+    "z": lambda p: p["height"],
+    "longitude": lambda p: p["longitude"],
+    "latitude": lambda p: p["latitude"],
+    "height": lambda p: p["height"],
+}
+
+
+def geohash_centre(cell: Column) -> Column:
+    """The middle of a geohash cell as a point."""
+    bits = F.concat_ws("", F.transform(F.split(cell, ""), lambda d: F.when(d != "", F.lpad(F.bin(F.instr(F.lit(DIGITS), d).cast("long") - 1), 5, "0"))))
+    every = lambda start: F.concat_ws("", F.transform(F.sequence(F.lit(start), F.length(bits), F.lit(2)), lambda i: F.substr(bits, i, F.lit(1))))
+    lon, lat = every(1), every(2)
+    middle = lambda b, low, width: low + width * (F.conv(b, 2, 10).cast("double") + 0.5) / F.pow(F.lit(2.0), F.length(b))
+    return point(middle(lat, -90.0, 180.0), middle(lon, -180.0, 360.0))

@@ -196,3 +196,86 @@ def type_rank(x, kind: str) -> Column:
     """A sort key for columns of one type among mixed ones: strings before booleans before numbers, null last."""
     rank = {"map": 0, "list": 1, "string": 2, "boolean": 3, "number": 4}[kind]
     return F.when(x.isNull(), 9).otherwise(rank)
+
+
+def to_string(x) -> Column:
+    """Text of a number, boolean or instant; doubles with a fraction, as in 1.0."""
+    return _c(x).cast("string")
+
+
+def list_concat(a, b) -> Column:
+    """Null if either list is null."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.concat(a, b))
+
+
+def append(items, x) -> Column:
+    return F.when(items.isNotNull(), F.concat(items, F.array(_c(x))))
+
+
+def prepend(x, items) -> Column:
+    return F.when(items.isNotNull(), F.concat(F.array(_c(x)), items))
+
+
+def to_predicate(x, kind: str) -> Column:
+    """A value where a condition is asked for: a list holds if it is not empty, a boolean as it is; null is unknown."""
+    if kind == "boolean":
+        return x
+    if kind == "list":
+        return F.when(x.isNotNull(), F.size(x) > 0)
+    raise ValueError(f"a {kind} is no condition")
+
+
+def comparison(a, op: str, b) -> Column:
+    """< <= > >= with null and NaN as unknown."""
+    return ordered(a, b, {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op])
+
+
+def xor(*parts: Column) -> Column:
+    """Exclusive or, unknown if any part is."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = F.when(out.isNotNull() & part.isNotNull(), out != part)
+    return out
+
+
+# elements: properties are the columns of a node or relationship
+
+
+def properties(columns: dict[str, Column]) -> Column:
+    """A map of the properties that are present, values as text."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in columns.items()))
+    return F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull()))
+
+
+def keys(columns: dict[str, Column]) -> Column:
+    """The names of the properties that are present, sorted."""
+    return F.sort_array(F.map_keys(properties(columns)))
+
+
+def map_projection(columns: dict[str, Column], all_of_them: bool = False, chosen: list[str] = (), **more: Column) -> Column:
+    """n {.a, .b, name: value, .*} as a struct; later entries win."""
+    picked = dict(columns) if all_of_them else {k: columns.get(k, F.lit(None).cast("string")) for k in chosen}
+    return F.struct(*(v.alias(k) for k, v in {**picked, **more}.items()))
+
+
+# paths: an array of vertices and an array of relationships
+
+
+def path_nodes(path) -> Column:
+    return path
+
+
+def path_relationships(rels) -> Column:
+    return rels
+
+
+def path_length(rels) -> Column:
+    return F.size(rels)
+
+
+def start_node(path) -> Column:
+    return head(path)
+
+
+def end_node(path) -> Column:
+    return last(path)

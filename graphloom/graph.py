@@ -60,6 +60,29 @@ class PropertyGraph:
         return df.select(F.concat_ws(":", F.lower("source"), F.col("src")).alias("src"), F.concat_ws(":", F.lower("target"), F.col("dst")).alias("dst"), "type")
 
 
+def relationships_by_ids(rels: DataFrame, ids: list, directed: bool = True) -> DataFrame:
+    """(rid, start, end, ...) of the given relationships; undirected, each one from both ends (a loop once)."""
+    found = rels.filter(F.col("rid").isin(ids)).withColumnsRenamed({"src": "start", "dst": "end"})
+    if directed:
+        return found
+    back = found.filter("start <> end").select(F.col("end").alias("start"), F.col("start").alias("end"), *(c for c in found.columns if c not in ("start", "end")))
+    return found.unionByName(back)
+
+
+def relationships_in_range(rels: DataFrame, low, high, by: str = "rid") -> DataFrame:
+    """The relationships with an id, or another property such as an end time, in a closed range; an open side is None."""
+    found = rels if low is None else rels.filter(F.col(by) >= F.lit(low))
+    return found if high is None else found.filter(F.col(by) <= F.lit(high))
+
+
+def conditional_apply(rows: DataFrame, condition: str | Column, apply, otherwise=None) -> DataFrame:
+    """Rows that meet the condition go through ``apply`` (a function of frames), the others through ``otherwise`` or on as
+    they are; columns that one side lacks are null. A condition that is null is not met."""
+    met = F.coalesce(F.expr(condition) if isinstance(condition, str) else condition, F.lit(False))
+    rest = rows.filter(~met)
+    return apply(rows.filter(met)).unionByName(otherwise(rest) if otherwise else rest, allowMissingColumns=True)
+
+
 def prop(var: str, name: str) -> Column:
     """A property of a pattern variable."""
     return F.col(f"{var}__{name}")
@@ -73,14 +96,20 @@ def bind(df: DataFrame, var: str) -> DataFrame:
 class Match:
     """A pattern that grows by joins; immutable. Columns are ``variable__property``.
 
-    Relationships of one pattern are unique (two variables never bind one relationship), nodes may repeat. A filter on
-    a node or relationship goes below the join, so Catalyst pushes it into the scan and prunes the columns.
+    Within a clause two variables never bind one relationship, nodes may repeat; ``clause`` begins another one, and an
+    optional step is a clause of its own. A filter on a node or relationship goes below the join, so Catalyst pushes it
+    into the scan and prunes the columns.
     """
 
     graph: PropertyGraph
     frame: DataFrame | None = None
     labels: tuple[tuple[str, str], ...] = ()
     used: tuple[tuple[str, str], ...] = ()
+    steps: int = 0
+
+    def clause(self) -> Match:
+        """The next MATCH: its relationships may be those of the clauses before."""
+        return replace(self, used=())
 
     def node(self, var: str, label: str, where: str | None = None) -> Match:
         """Starts a pattern, or adds a disconnected node: every combination, as in the pattern language."""
@@ -106,7 +135,7 @@ class Match:
         label = labels.get(end, label)
         ends = self._ends(kind, direction, labels[start], label)
         ends = ends.filter(rel_where) if rel_where else ends
-        rel = rel or f"_r{len(self.used)}"
+        rel = rel or f"_r{self.steps}"
         step = ends.select(F.col("_n").alias(f"_n_{rel}"), F.col("_f").alias(f"_f_{rel}"), *(F.col(c).alias(f"{rel}__{c}") for c in ends.columns if c not in ("_n", "_f")))
         on = F.col(f"{start}__id") == F.col(f"_n_{rel}")
         if end in labels:
@@ -119,10 +148,22 @@ class Match:
                 node = bind(node.filter(where) if where else node, end)
                 step = step.join(node, F.col(f"_f_{rel}") == F.col(f"{end}__id")).drop(f"_f_{rel}")
         for other, other_kind in self.used:
-            if other_kind == kind:
+            if other_kind == kind and not optional:
                 on = on & (F.col(f"{rel}__rid") != F.col(f"{other}__rid"))
         frame = self.frame.join(step, on, "left" if optional else "inner").drop(f"_n_{rel}", f"_f_{rel}")
-        return replace(self, frame=frame, labels=(*self.labels, *(((end, label or ""),) if end not in labels else ())), used=(*self.used, (rel, kind)))
+        return replace(self, frame=frame, labels=(*self.labels, *(((end, label or ""),) if end not in labels else ())), used=() if optional else (*self.used, (rel, kind)), steps=self.steps + 1)
+
+    def endpoints(self, rel: DataFrame, kind: str, var: str, start: str, end: str, labels: tuple[str, str]) -> Match:
+        """Binds given relationships of a type and both their nodes (ProjectEndpoints)."""
+        bound = rel.select(F.col("src").alias(f"_s_{var}"), F.col("dst").alias(f"_t_{var}"), *(F.col(c).alias(f"{var}__{c}") for c in rel.columns if c not in ("src", "dst")))
+        for name, label, column in ((start, labels[0], f"_s_{var}"), (end, labels[1], f"_t_{var}")):
+            bound = bound.join(bind(self.graph.node(label), name), F.col(column) == F.col(f"{name}__id")).drop(column)
+        return replace(self, frame=bound, labels=((start, labels[0]), (end, labels[1])), used=((var, kind),), steps=self.steps + 1)
+
+    def same(self, a: str, b: str) -> Match:
+        """Fails where two variables are bound to different nodes (AssertSameNode)."""
+        check = F.when(F.col(f"{a}__id").eqNullSafe(F.col(f"{b}__id")), True).otherwise(F.raise_error(F.lit(f"{a} and {b} are different nodes")).cast("boolean"))
+        return replace(self, frame=self.frame.filter(check))
 
     def where(self, condition: str | Column) -> Match:
         return replace(self, frame=self.frame.filter(condition))
@@ -171,18 +212,19 @@ def tpch_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
     keys = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Order": ("orders", "o_orderkey")}
     nodes = {label: (df := read(table)).withColumn("id", F.col(key).cast("long")) for label, (table, key) in keys.items()}
-    link = lambda df, src, dst: df.select(F.xxhash64(F.lit(f"{src}>{dst}"), F.col(src), F.col(dst)).alias("rid"), F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
+    # a row has one foreign key of a kind, so its own key names the relationship; ``side`` tells two tables of a type apart
+    link = lambda df, key, src, dst, side=0: df.select((F.col(key).cast("long") * 2 + side).alias("rid"), F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
     items = read("lineitem")
-    # line items have no key of their own: the whole row names the relationship
-    rid = F.xxhash64(*items.columns).alias("rid")
+    # line items have no key: order and line may repeat, the rest of the row tells them apart
+    rid = F.struct("l_orderkey", "l_linenumber", F.xxhash64(*items.columns).alias("row")).alias("rid")
     props = [F.col(c).alias(c[2:]) for c in items.columns if c not in ("l_orderkey", "l_partkey", "l_suppkey")]
     item = lambda key: items.select(rid, F.col("l_orderkey").cast("long").alias("src"), F.col(key).cast("long").alias("dst"), *props)
     return PropertyGraph(
         nodes,
         {
-            "IN_REGION": [RelSpec("Nation", "Region", link(nodes["Nation"], "n_nationkey", "n_regionkey"))],
-            "FROM_NATION": [RelSpec("Customer", "Nation", link(nodes["Customer"], "c_custkey", "c_nationkey")), RelSpec("Supplier", "Nation", link(nodes["Supplier"], "s_suppkey", "s_nationkey"))],
-            "PLACED": [RelSpec("Customer", "Order", link(nodes["Order"], "o_custkey", "o_orderkey"))],
+            "IN_REGION": [RelSpec("Nation", "Region", link(nodes["Nation"], "n_nationkey", "n_nationkey", "n_regionkey"))],
+            "FROM_NATION": [RelSpec("Customer", "Nation", link(nodes["Customer"], "c_custkey", "c_custkey", "c_nationkey")), RelSpec("Supplier", "Nation", link(nodes["Supplier"], "s_suppkey", "s_suppkey", "s_nationkey", 1))],
+            "PLACED": [RelSpec("Customer", "Order", link(nodes["Order"], "o_orderkey", "o_custkey", "o_orderkey"))],
             "CONTAINS": [RelSpec("Order", "Part", item("l_partkey"))],
             "SHIPPED_BY": [RelSpec("Order", "Supplier", item("l_suppkey"))],
         },

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..tables import materialise
+
 
 def terms(df: DataFrame, field: Column, size: int | None = None, fold_case: bool = False, missing=None, excluded: str | None = None, min_count: int = 1, metrics: dict[str, Column] | None = None) -> DataFrame:
     """(key, n, metrics): buckets by value, largest first. With ``fold_case`` the most frequent spelling is the key."""
@@ -67,12 +71,30 @@ def statistics(df: DataFrame, field: Column, by: list[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.count(field).alias("n"), F.min(field).alias("low"), F.max(field).alias("high"), F.sum(field).alias("total"), F.avg(field).alias("average"), F.stddev_pop(field).alias("deviation"))
 
 
-def percentiles(df: DataFrame, field: str, percents: list[float] = (1, 5, 25, 50, 75, 95, 99)) -> DataFrame:
-    """(percentile, value), interpolated; on very many rows pass an approximation's column instead."""
-    array = ", ".join(str(p / 100) for p in percents)
-    row = df.agg(F.expr(f"percentile({field}, array({array}))").alias("v"))
-    keys = F.array(*(F.lit(float(p)) for p in percents))
-    return row.select(F.explode(F.arrays_zip(keys.alias("percentile"), F.col("v").alias("value"))).alias("x")).select(F.col("x.percentile").alias("percentile"), F.col("x.value").alias("value"))
+def percentiles(df: DataFrame, field: str, percents: list[float] = (1, 5, 25, 50, 75, 95, 99), by: list[str] = (), discrete: bool = False) -> DataFrame:
+    """(by, percentile, value): exact, interpolated between the two nearest values or the lower of them if ``discrete``.
+
+    Values are counted first and dealt by range, so a group of any size is spread over tasks: the places of a task's
+    values follow from one total for each task and group. Nulls do not count.
+    """
+    by = list(by)
+    value = F.expr(field).alias("_v")
+    counts = df.select(*by, value).filter("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    dealt = materialise(counts.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy(*by, "_part").agg(F.sum("_n").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
+    upto = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.join(base, [*by, "_part"]).withColumn("_end", F.col("_base") + F.sum("_n").over(upto))
+    # the places wanted: for p of n values (n - 1) p, between its floor and its ceiling; the discrete one is n p, rounded up
+    wanted = F.explode(F.array(*(F.lit(float(p)) for p in percents))).alias("percentile")
+    at = base.select(*by, "_all").distinct().select(*by, "_all", wanted)
+    place = F.greatest(F.ceil(F.col("_all") * F.col("percentile") / 100 - 1e-9) - 1, F.lit(0)).cast("double") if discrete else (F.col("_all") - 1) * F.col("percentile") / 100
+    at = at.withColumn("_at", place).select(*by, "percentile", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_k"))
+    met = placed.select(*by, "_v", "_end", (F.col("_end") - F.col("_n")).alias("_start"))
+    near = (at.join(met, by) if by else at.crossJoin(met)).filter("_k >= _start and _k < _end")  # a few places for each group
+    share = F.when(F.floor("_at") == F.ceil("_at"), F.lit(1.0)).otherwise(1 - F.abs(F.col("_at") - F.col("_k")))
+    return near.groupBy(*by, "percentile").agg(F.sum(F.col("_v") * share).alias("value"))
 
 
 def search_page(df: DataFrame, order: list[Column], skip: int, limit: int) -> DataFrame:
@@ -80,8 +102,44 @@ def search_page(df: DataFrame, order: list[Column], skip: int, limit: int) -> Da
     return df.orderBy(*order).offset(skip).limit(limit).crossJoin(df.agg(F.count("*").alias("total_hits")))  # one row
 
 
-def top_with_ties(df: DataFrame, order: Column, by: list[str] = ()) -> DataFrame:
-    return df.withColumn("_r", F.rank().over(Window.partitionBy(*by).orderBy(order))).filter("_r = 1").drop("_r")
+def top_with_ties(df: DataFrame, column: str, descending: bool = True, by: list[str] = ()) -> DataFrame:
+    """The rows with the largest (or smallest) value of each group; the value comes first, so no group is gathered."""
+    best = df.groupBy(*by).agg((F.max if descending else F.min)(column).alias(column))
+    return df.join(best, [*by, column], "left_semi")
+
+
+def field_scores(df: DataFrame, field: Column, hit: Column | None = None, least: float | None = None) -> DataFrame:
+    """``df`` with ``score``: the value of a numeric field, 0 where it is absent; rows under ``least`` go."""
+    rows = df.filter(hit) if hit is not None else df
+    rows = rows.withColumn("score", F.coalesce(field.cast("double"), F.lit(0.0)))
+    return rows.filter(F.col("score") >= least) if least is not None else rows
+
+
+#: Aggregations by the name that search options give them: a function of (frame, options).
+NAMED = {
+    "term": lambda df, o: terms(df, F.col(o["field"]), size=o.get("size"), missing=o.get("missing")),
+    "histogram": lambda df, o: histogram(df, F.col(o["field"]), float(o["interval"]), min_count=o.get("minDocumentCount", 1)),
+    "calendar": lambda df, o: chrono_field(df, F.col(o["field"]), o["calendarField"], o.get("timeZone", "UTC")),
+    "statistics": lambda df, o: df.agg(*(f(o["field"]).cast("double").alias(k) for k, f in METRICS.items())).select(F.explode(F.map_from_arrays(F.array(*(F.lit(k) for k in METRICS)), F.array(*METRICS))).alias("key", "value")),
+    **{k: lambda df, o, k=k: df.agg(METRICS[k](o["field"]).cast("double").alias("value")) for k in ("sum", "avg", "min", "max")},
+    "cardinality": lambda df, o: cardinality(df, F.col(o["field"])).withColumnRenamed("n", "value"),
+}
+#: Metrics of one field.
+METRICS = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
+
+
+def from_options(df: DataFrame, options: str | list[dict]) -> DataFrame:
+    """(name, key, n, value) of several aggregations given as search options: JSON objects with type, name and field.
+
+    Keys and values are what the aggregation of that type returns, keys as text; what it has not is null.
+    """
+    out = None
+    for o in json.loads(options) if isinstance(options, str) else options:
+        found = NAMED[o["type"]](df, o)
+        pick = lambda c, t, found=found: (F.col(c).cast(t) if c in found.columns else F.lit(None).cast(t)).alias(c)
+        one = found.select(F.lit(o["name"]).alias("name"), pick("key", "string"), pick("n", "long"), pick("value", "double"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 #: Write-time merges of property values by aggregate type; ``ts`` orders the writes.

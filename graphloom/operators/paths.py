@@ -1,14 +1,15 @@
 """Neighbourhoods, paths, rings and rays: bounded loops of joins over an edge table (src, dst).
 
 Edges are directed; pass ``both(edges)`` for undirected searches. Searches carry their source in a column, so many
-sources run in one loop. Ids may be of any type. Every loop has a depth bound; each round is a written table.
+sources run in one loop. Ids may be of any type. Loops have a depth bound or run until nothing changes. Searches that
+keep what they have found write each round as a table; path expansions are one plan of as many joins as hops.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..tables import materialise
@@ -78,10 +79,37 @@ def walks(edges: DataFrame, sources: DataFrame, low: int, high: int, simple: boo
     return reduce(DataFrame.unionByName, parts)
 
 
-def find_paths(edges: DataFrame, source, target, most: int) -> DataFrame:
-    """(path): simple paths from ``source`` to ``target`` of at most ``most`` hops; a path stops at the target."""
+def trails(edges: DataFrame, sources: DataFrame, low: int, high: int) -> DataFrame:
+    """(source, id, hops, path, rels): all paths of low .. high hops over edges (rid, src, dst) in which no relationship
+    repeats; vertices may. ``path`` has the vertices and ``rels`` the ids of the relationships in order."""
+    edges = edges.select("rid", "src", "dst")
+    kind = edges.schema["rid"].dataType.simpleString()
+    at = sources.select("source", F.col("source").alias("id"), F.lit(0).alias("hops"), F.array("source").alias("path"), F.array().cast(f"array<{kind}>").alias("rels"))
+    parts = [at] if low == 0 else []
+    for hop in range(1, high + 1):
+        step = at.join(edges, F.col("id") == F.col("src")).filter(~F.array_contains("rels", F.col("rid")))
+        at = step.select("source", F.col("dst").alias("id"), F.lit(hop).alias("hops"), F.array_append("path", F.col("dst")).alias("path"), F.array_append("rels", F.col("rid")).alias("rels"))
+        if hop >= low:
+            parts.append(at)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def either_way(edges: DataFrame) -> DataFrame:
+    """Each edge from both its ends with all its columns, parallel edges kept, a loop once."""
+    back = edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(c for c in edges.columns if c not in ("src", "dst")))
+    return edges.unionByName(back)
+
+
+def find_paths(edges: DataFrame, source, target, most: int, kinds: list[str] | None = None, excluded: list[str] = ()) -> DataFrame:
+    """(path): simple paths between two vertices of at most ``most`` hops, along edges of either direction.
+
+    With ``kinds`` only edges whose ``type`` is among them count, without those ``excluded``. A path stops at the target;
+    parallel edges give a path each.
+    """
     spark = edges.sparkSession
-    edges = edges.filter(F.col("src") != F.lit(target))
+    edges = edges.filter(F.col("type").isin(kinds)) if kinds is not None else edges
+    edges = edges.filter(~F.col("type").isin(list(excluded))) if excluded else edges
+    edges = either_way(edges.select("src", "dst")).filter(F.col("src") != F.lit(target))
     start = spark.range(1).select(F.lit(source).alias("source"))
     return walks(edges, start, 1, most).filter(F.col("id") == F.lit(target)).select("path")
 
@@ -105,12 +133,17 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int, single: bool
     return out.groupBy("source", "target").agg(F.min("path").alias("path")) if single else out
 
 
-def weighted_distances(edges: DataFrame, sources: DataFrame, rounds: int = 50, default: float = 1.0) -> DataFrame:
-    """(source, id, distance): least sums of ``weight`` (null counts as ``default``) by relaxation until nothing falls."""
+def weighted_distances(edges: DataFrame, sources: DataFrame, default: float = 1.0) -> DataFrame:
+    """(source, id, distance): least sums of ``weight`` (null counts as ``default``) by relaxation until nothing falls.
+
+    A negative weight is an error, since a cycle of them has no least sum.
+    """
     edges = edges.groupBy("src", "dst").agg(F.min(F.coalesce("weight", F.lit(default))).alias("weight"))
+    if not edges.filter("weight < 0").isEmpty():
+        raise ValueError("weights must not be negative")
     found = materialise(sources.select("source", F.col("source").alias("id"), F.lit(0.0).alias("distance")).distinct())
     fresh = found
-    for _ in range(rounds):
+    while True:
         near = fresh.join(edges, F.col("id") == F.col("src")).groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("_new"))
         fresh = materialise(near.join(found, ["source", "id"], "left").filter("distance is null or _new < distance").select("source", "id", F.col("_new").alias("distance")))
         if fresh.isEmpty():
@@ -169,8 +202,7 @@ def step_counts(sources: DataFrame, edges: list[DataFrame], contains_traversed:
     """(source, edges): the edges met by a list of steps; all of them, or those of the last step."""
     at, counted = sources.select("source", F.col("source").alias("id"), F.lit(1).cast("long").alias("n")), []
     for table in edges:
-        fan = table.groupBy("src").agg(F.collect_list("dst").alias("dst"))
-        at = at.join(fan, F.col("id") == F.col("src")).select("source", F.explode("dst").alias("id"), "n").groupBy("source", "id").agg(F.sum("n").alias("n"))
+        at = at.join(table.select("src", "dst"), F.col("id") == F.col("src")).groupBy("source", F.col("dst").alias("id")).agg(F.sum("n").alias("n"))
         counted.append(at.select("source", "n"))
     counted = counted if contains_traversed else counted[-1:]
     return reduce(DataFrame.unionByName, counted).groupBy("source").agg(F.sum("n").alias("edges"))
@@ -179,3 +211,76 @@ def step_counts(sources: DataFrame, edges: list[DataFrame], contains_traversed:
 def related_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges whose both ends are among ``ids``."""
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+
+
+def customized_reach(sources: DataFrame, edges: list[DataFrame], nearest: bool = True) -> DataFrame:
+    """(source, id, hops): the vertices after each of a list of steps, each with an edge table of its own.
+
+    ``nearest`` leaves out vertices that an earlier step has reached, the source among them. Filter, cap or weight the
+    edges of a step before (``capped``, ``without_super_nodes``).
+    """
+    found = sources.select("source", F.col("source").alias("id"), F.lit(0).alias("hops")).distinct()
+    at, parts = found, []
+    for hop, table in enumerate(edges, 1):
+        near = at.join(table.select("src", "dst"), F.col("id") == F.col("src")).select("source", F.col("dst").alias("id")).distinct()
+        at = materialise((near.join(found, ["source", "id"], "left_anti") if nearest else near).withColumn("hops", F.lit(hop)))
+        parts.append(at)
+        found = found.unionByName(at)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def customized_k_out(sources: DataFrame, edges: list[DataFrame], nearest: bool = True) -> DataFrame:
+    """(source, id): what the last step of ``customized_reach`` reaches."""
+    return customized_reach(sources, edges, nearest).filter(F.col("hops") == len(edges)).select("source", "id")
+
+
+def customized_k_neighbor(sources: DataFrame, edges: list[DataFrame]) -> DataFrame:
+    """(source, id, hops): what any step reaches, at its first step."""
+    return customized_reach(sources, edges)
+
+
+def collection_paths(sources: DataFrame, targets: DataFrame, edges: DataFrame, depth: int, nearest: bool = False) -> DataFrame:
+    """(source, target, path): simple paths of at most ``depth`` hops from any of some vertices to any of others.
+
+    With ``nearest`` only the shortest of each pair. A path may pass other sources and targets.
+    """
+    ends = targets.select(F.col("target").alias("id")).distinct()
+    found = walks(edges, sources.select("source").distinct(), 1, depth).join(ends, "id", "left_semi")
+    if nearest:
+        least = found.groupBy("source", "id").agg(F.min("hops").alias("hops"))
+        found = found.join(least, ["source", "id", "hops"])
+    return found.select("source", F.col("id").alias("target"), "path")
+
+
+def neighbourhood(edges: DataFrame, ids: DataFrame, direction: str = "both", kinds: list[str] | None = None) -> DataFrame:
+    """(origin, neighbour, rid, type): the edges (rid, type, src, dst) of each of ``ids`` as seen from it, a loop once."""
+    edges = edges.filter(F.col("type").isin(kinds)) if kinds is not None else edges
+    origin = ids.select(F.col("id").alias("origin")).distinct()
+    sides = []
+    if direction in ("out", "both"):
+        sides.append(edges.select(F.col("src").alias("origin"), F.col("dst").alias("neighbour"), "rid", "type"))
+    if direction in ("in", "both"):
+        back = edges.filter("src <> dst") if direction == "both" else edges
+        sides.append(back.select(F.col("dst").alias("origin"), F.col("src").alias("neighbour"), "rid", "type"))
+    return reduce(DataFrame.unionByName, sides).join(origin, "origin")
+
+
+def vertex_query(vertices: DataFrame, edges: DataFrame, ids: DataFrame, direction: str = "both", kinds: list[str] | None = None, where: Column | None = None, edge_where: Column | None = None) -> DataFrame:
+    """The vertices next to any of ``ids`` that meet ``where``, each once: a search within a neighbourhood."""
+    edges = edges.filter(edge_where) if edge_where is not None else edges
+    near = neighbourhood(edges, ids, direction, kinds).select(F.col("neighbour").alias("id")).distinct()
+    found = vertices.join(near, "id", "left_semi")
+    return found.filter(where) if where is not None else found
+
+
+def edge_query(edges: DataFrame, ids: DataFrame, direction: str = "both", kinds: list[str] | None = None, where: Column | None = None) -> DataFrame:
+    """The edges of any of ``ids`` that meet ``where``, each once."""
+    near = neighbourhood(edges, ids, direction, kinds).select("rid", "type").distinct()
+    found = edges.join(near, ["rid", "type"], "left_semi")
+    return found.filter(where) if where is not None else found
+
+
+def related_to_all(edges: DataFrame, ids: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(id, n): the vertices next to some of ``ids`` with the number of them; those themselves are left out."""
+    near = neighbourhood(edges, ids, "both", kinds).groupBy(F.col("neighbour").alias("id")).agg(F.count_distinct("origin").alias("n"))
+    return near.join(ids.select("id").distinct(), "id", "left_anti")

@@ -27,6 +27,13 @@ def jaccard_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a", "b", F.when(union > 0, F.coalesce("both", F.lit(0)) / union).otherwise(0.0).alias("jaccard"))
 
 
+def jaccard_of_all(edges: DataFrame) -> DataFrame:
+    """(a, b, jaccard) of all pairs a < b that share a neighbour; every other pair has 0."""
+    near = neighbours(edges)
+    pairs = near.select(F.col("src").alias("a"), "dst").join(near.select(F.col("src").alias("b"), "dst"), "dst").filter("a < b").select("a", "b").distinct()
+    return jaccard_pairs(edges, pairs)
+
+
 def jaccard_similars(edges: DataFrame, source, top: int) -> DataFrame:
     """(id, jaccard): the vertices one or two hops from ``source`` with the most similar neighbour sets."""
     near = neighbours(edges)
@@ -37,11 +44,20 @@ def jaccard_similars(edges: DataFrame, source, top: int) -> DataFrame:
 
 
 def fusiform(edges: DataFrame, alpha: float, min_neighbors: int = 1, min_similars: int = 1) -> DataFrame:
-    """(a, b, score): vertices b that share at least ``alpha`` of the neighbours of a, for a with enough of both."""
+    """(a, b, score): vertices b that share at least ``alpha`` of the neighbours of a, for a with enough of both.
+
+    A partner of a vertex with n neighbours has one of any n - ceil(alpha n) + 1 of them: candidates meet at the rarest
+    of these alone, so a hub is met only by vertices with hardly any other neighbour, and are then counted in full.
+    """
     near = neighbours(edges)
-    degree = near.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") >= min_neighbors)
-    own = near.join(degree, "src").select(F.col("src").alias("a"), "n", "dst")
-    shared = own.join(near.withColumnRenamed("src", "b"), "dst").filter("a <> b").groupBy("a", "n", "b").agg(F.count("*").alias("both"))
+    degree = near.groupBy("src").agg(F.count("*").alias("n"))
+    rarity = near.groupBy("dst").agg(F.count("*").alias("_in"))
+    own = near.join(degree.filter(F.col("n") >= min_neighbors), "src").select(F.col("src").alias("a"), "n", "dst")
+    place = F.row_number().over(Window.partitionBy("a").orderBy("_in", "dst"))
+    rare = own.join(rarity, "dst").withColumn("_k", place).filter(F.col("_k") <= F.col("n") - F.ceil(F.lit(alpha) * F.col("n")) + 1)
+    large = near.join(degree.filter(F.col("n") >= alpha * min_neighbors).select("src"), "src", "left_semi").select(F.col("src").alias("b"), "dst")
+    pairs = rare.select("a", "dst").join(large, "dst").filter("a <> b").select("a", "b").distinct()
+    shared = pairs.join(own, "a").join(large, ["b", "dst"]).groupBy("a", "n", "b").agg(F.count("*").alias("both"))
     found = shared.filter(F.col("both") >= alpha * F.col("n")).select("a", "b", (F.col("both") / F.col("n")).alias("score"))
     enough = found.groupBy("a").count().filter(F.col("count") >= min_similars).select("a")
     return found.join(enough, "a", "left_semi")

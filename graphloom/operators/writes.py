@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 
 def create(elements: DataFrame, new: DataFrame) -> DataFrame:
@@ -42,10 +41,14 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame, detach: boo
 
 
 def latest(changes: DataFrame, key: str, ts: str = "ts", until=None) -> DataFrame:
-    """The live rows of a change log (columns key, ts, deleted): the last write of each key, up to a time if given."""
+    """The live rows of a change log (columns key, ts, deleted): the last write of each key, up to a time if given.
+
+    Of writes at the same time the one with the larger other columns counts, so the result does not change between runs.
+    """
     changes = changes.filter(F.col(ts) <= until) if until is not None else changes
-    w = Window.partitionBy(key).orderBy(F.desc(ts))
-    return changes.withColumn("_k", F.row_number().over(w)).filter("_k = 1 and not deleted").drop("_k")
+    order = F.struct(ts, *sorted(c for c in changes.columns if c not in (key, ts)))
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*changes.columns), order).alias("_l"))
+    return last.select("_l.*").filter("not deleted")
 
 
 def expired(elements: DataFrame, expires: str, now) -> DataFrame:
@@ -63,3 +66,63 @@ def violations(elements: DataFrame, unique: list[str] = (), required: list[str]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def merge_relationships(rels: DataFrame, pairs: DataFrame, rid: Column, on_create: dict[str, Column], on_match: dict[str, Column]) -> DataFrame:
+    """MERGE of relationships by their ends: pairs (src, dst) that are linked are set, the others are linked.
+
+    ``rid`` makes the id of a new relationship from src and dst.
+    """
+    return merge(rels, pairs, ["src", "dst"], {"rid": rid, **on_create}, on_match)
+
+
+def delete_relationships(rels: DataFrame, ids: DataFrame) -> DataFrame:
+    """DELETE r: the relationships that stay."""
+    return rels.join(ids.select("rid").distinct(), "rid", "left_anti")
+
+
+def delete_paths(nodes: DataFrame, rels: DataFrame, paths: DataFrame, detach: bool = False) -> tuple[DataFrame, DataFrame]:
+    """DELETE p: the nodes and relationships that stay when those of ``paths`` (path, rels) go."""
+    gone = paths.select(F.explode("path").alias("id"))
+    left = delete_relationships(rels, paths.select(F.explode("rels").alias("rid")))
+    return delete_nodes(nodes, left, gone, detach)
+
+
+def set_labels(nodes: DataFrame, where: Column, names: list[str]) -> DataFrame:
+    """SET n:A:B for nodes that keep their labels in an array ``labels``."""
+    return nodes.withColumn("labels", F.when(where, F.array_union("labels", F.array(*(F.lit(x) for x in names)))).otherwise(F.col("labels")))
+
+
+def remove_labels(nodes: DataFrame, where: Column, names: list[str]) -> DataFrame:
+    """REMOVE n:A:B."""
+    return nodes.withColumn("labels", F.when(where, F.array_except("labels", F.array(*(F.lit(x) for x in names)))).otherwise(F.col("labels")))
+
+
+def foreach_set(elements: DataFrame, items: Column, column: str, update) -> DataFrame:
+    """FOREACH (x IN items | SET n.column = update(n.column, x)): one after the other, within the row."""
+    return elements.withColumn(column, F.aggregate(F.coalesce(items, F.array().cast(elements.select(items.alias("i")).schema["i"].dataType)), F.col(column), update))
+
+
+def foreach_create(rows: DataFrame, items: Column, name: str, values: dict[str, Column]) -> DataFrame:
+    """FOREACH (x IN items | CREATE (values)): the new elements; ``values`` may name the item."""
+    return rows.select("*", F.explode(items).alias(name)).select(*(v.alias(c) for c, v in values.items()))
+
+
+def change_events(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
+    """(key, event, property, old, new): what a write has changed, between two versions of the elements.
+
+    Events are added, deleted, property set, property changed and property removed; values are text.
+    """
+    names = [c for c in after.columns if c != key and c in before.columns]
+    old = before.select(key, F.struct(*names).alias("_o"), F.lit(True).alias("_b"))
+    new = after.select(key, F.struct(*names).alias("_n"), F.lit(True).alias("_a"))
+    both = old.join(new, key, "full")
+    value = lambda side, c: F.when(F.col(side).isNotNull(), F.col(f"{side}.{c}").cast("string"))
+    whole = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "deleted")
+    empty = F.lit(None).cast("string")
+    parts = [F.struct(whole.alias("event"), empty.alias("property"), empty.alias("old"), empty.alias("new"))]
+    for c in names:
+        o, n = value("_o", c), value("_n", c)
+        event = F.when(o.eqNullSafe(n) | F.col("_a").isNull(), empty).when(o.isNull(), "property set").when(n.isNull(), "property removed").otherwise("property changed")
+        parts.append(F.struct(event.alias("event"), F.lit(c).alias("property"), o.alias("old"), n.alias("new")))
+    return both.select(key, F.explode(F.array(*parts)).alias("e")).select(key, "e.*").filter("event is not null")

@@ -72,8 +72,8 @@ def seek_by_ids(spark, d):
 
 @query("SELECT * FROM (VALUES (0, 42), (1, 7), (2, 1)) t(place, id) WHERE id IN (SELECT c_custkey FROM customer)")
 def scan_in_order(spark, d):
-    found = src.in_order(tpch_graph(spark, d).node("Customer"), [42, 7, 1]).select("id")
-    return found.withColumn("place", F.monotonically_increasing_id()).select(F.col("place").cast("int"), F.col("id").cast("int"))
+    found = src.in_order(tpch_graph(spark, d).node("Customer"), [42, 7, 1], place="place")
+    return found.select("place", F.col("id").cast("int").alias("id"))
 
 
 @query("SELECT i AS id, i IN (SELECT c_custkey FROM customer) AS found FROM (VALUES (1), (2), (99999999)) t(i)")
@@ -96,10 +96,11 @@ def seek_composite(spark, d):
     return tpch_graph(spark, d).node("Part").filter("p_size between 10 and 12 and p_brand = 'Brand#12'").select("id", F.col("p_size").alias("size"))
 
 
-@query("SELECT p_partkey AS id FROM part WHERE starts_with(p_name, 'P') AND contains(p_type, 'A') AND NOT suffix(p_type, 'X')")
+@query("SELECT p_partkey AS id, starts_with(p_brand, 'Brand#1') AS s, contains(p_type, 'A') AS c, suffix(p_brand, '2') AS e FROM part WHERE starts_with(p_brand, 'Brand#1') OR contains(p_type, 'N') OR suffix(p_brand, '2')")
 def filter_strings(spark, d):
-    p = tpch_graph(spark, d).node("Part")
-    return p.filter(F.col("p_name").startswith("P") & F.col("p_type").contains("A") & ~F.col("p_type").endswith("X")).select("id")
+    p, brand, kind = tpch_graph(spark, d).node("Part"), F.col("p_brand"), F.col("p_type")
+    hits = p.filter(brand.startswith("Brand#1") | kind.contains("N") | brand.endswith("2"))
+    return hits.select("id", brand.startswith("Brand#1").alias("s"), kind.contains("A").alias("c"), brand.endswith("2").alias("e"))
 
 
 @query("SELECT c_custkey AS id, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -178,10 +179,11 @@ def cartesian_product(spark, d):
     return m.select(region="r__r_name", nation="n__n_name")
 
 
-@query("SELECT p.p_partkey AS part, s.s_suppkey AS supplier FROM part p JOIN supplier s ON p.p_size = s.s_nationkey WHERE p.p_retailprice > 1500")
+@query("SELECT p.p_partkey AS part, s.s_suppkey AS supplier FROM part p JOIN supplier s ON p.p_size = s.s_nationkey WHERE p.p_retailprice > (SELECT avg(p_retailprice) FROM part)")
 def value_hash_join(spark, d):
     g = tpch_graph(spark, d)
-    return g.node("Part").filter("p_retailprice > 1500").join(g.node("Supplier"), F.col("p_size") == F.col("s_nationkey")).select(F.col("p_partkey").alias("part"), F.col("s_suppkey").alias("supplier"))
+    mean = g.node("Part").agg(F.avg("p_retailprice").alias("mean"))  # one row
+    return g.node("Part").crossJoin(mean).filter("p_retailprice > mean").join(g.node("Supplier"), F.col("p_size") == F.col("s_nationkey")).select(F.col("p_partkey").alias("part"), F.col("s_suppkey").alias("supplier"))
 
 
 @query("""WITH hop AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R' AND l_quantity > 49)
@@ -267,16 +269,17 @@ def math_functions(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), S.ceil(p / 7).alias("up"), S.floor(p / 7).alias("down"), S.round_half_up(p / 7).alias("near"), S.sign(s - 25).alias("side"), F.round(F.sqrt(p), 6).alias("root"), F.round(S.log(p), 6).alias("logged"), S.int_div(s, F.lit(7)).cast("int").alias("whole"), S.remainder(s, 7).alias("part"), S.power(s, 2).alias("square"), F.round(S.haversin(s), 6).alias("hav"))
 
 
-@query("SELECT event_id AS id, TRY_CAST(regexp_extract(props, ': ([0-9]+)', 1) AS BIGINT) AS k, TRY_CAST(event_type AS BIGINT) AS none, CAST(value AS BIGINT) IS NOT NULL AS whole FROM events")
+@query("SELECT event_id AS id, TRY_CAST(regexp_extract(props, ': ([0-9]+)', 1) AS BIGINT) AS k, TRY_CAST(event_type AS BIGINT) AS none, CAST(trunc(value) AS BIGINT) AS whole FROM events")
 def conversions(spark, d):
     e = table(spark, d, "events")
-    return e.select(F.col("event_id").alias("id"), S.to_integer(F.regexp_extract("props", ": ([0-9]+)", 1)).alias("k"), S.to_integer(F.col("event_type")).alias("none"), S.to_integer(F.col("value")).isNotNull().alias("whole"))
+    return e.select(F.col("event_id").alias("id"), S.to_integer(F.regexp_extract("props", ": ([0-9]+)", 1)).alias("k"), S.to_integer(F.col("event_type")).alias("none"), S.to_integer(F.col("value")).alias("whole"))
 
 
-@query("SELECT r_regionkey AS id, len(range(0, r_regionkey + 1)) AS up, 0 AS away FROM region")
+@query("SELECT r_regionkey AS id, array_to_string(range(0, r_regionkey + 1), ',') AS up, array_to_string(range(r_regionkey, -3, -2), ',') AS down, '' AS away FROM region")
 def range_function(spark, d):
     k = F.col("r_regionkey")
-    return table(spark, d, "region").select(k.alias("id"), F.size(S.int_range(F.lit(0), k)).cast("long").alias("up"), F.size(S.int_range(k, F.lit(-1))).alias("away"))
+    text = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
+    return table(spark, d, "region").select(k.alias("id"), text(S.int_range(F.lit(0), k)).alias("up"), text(S.int_range(k, -2, -2)).alias("down"), text(S.int_range(k, F.lit(-1))).alias("away"))
 
 
 @query("SELECT event_id AS id, year(ts) AS y, quarter(ts) AS q, month(ts) AS m, week(ts) AS w, dayofyear(ts) AS doy, isodow(ts) AS dow, hour(ts) AS h, date_trunc('month', ts) AS month_start, make_timestamp((year(ts) // 10) * 10, 1, 1, 0, 0, 0) AS decade_start, CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM events")
@@ -311,10 +314,25 @@ def geo_within_box(spark, d):
     return _places(spark, d).filter(geo.in_box(F.col("at"), 60, -20, 10, 40)).select("id")
 
 
-@query()
+def _geohash_sql(digits: int) -> str:
+    """The geohash of lat and lon, bits of longitude and latitude in turn."""
+    bits = 5 * digits
+    cell = lambda v, low, width, n: f"least(CAST(floor(({v} - {low}) / {width} * {1 << n}) AS BIGINT), {(1 << n) - 1})"
+    out = []
+    for digit in range(digits):
+        value = []
+        for i in range(5 * digit, 5 * digit + 5):
+            v, low, width, n = ("lon", "-180.0", "360.0", (bits + 1) // 2) if i % 2 == 0 else ("lat", "-90.0", "180.0", bits // 2)
+            value.append(f"(({cell(v, low, width, n)} >> {n - 1 - i // 2}) & 1) * {1 << (4 - i % 5)}")
+        out.append(f"substr('{geo.DIGITS}', CAST({' + '.join(value)} AS INT) + 1, 1)")
+    return " || ".join(out)
+
+
+@query(f"SELECT key, count(*) AS n, round(avg(lat), 6) AS latitude, round(avg(lon), 6) AS longitude FROM (SELECT {_geohash_sql(3)} AS key, lat, lon FROM (SELECT {GEO_LAT} AS lat, {GEO_LON} AS lon FROM customer)) GROUP BY key")
 def geohash_buckets(spark, d):
     cells = _places(spark, d).withColumn("cell", geo.geohash(F.col("at"), 3))
-    return A.geohashes(cells, F.col("cell"), F.col("at.latitude"), F.col("at.longitude"))
+    found = A.geohashes(cells, F.col("cell"), F.col("at.latitude"), F.col("at.longitude"))
+    return found.withColumns({"latitude": F.round("latitude", 6), "longitude": F.round("longitude", 6)})
 
 
 # ---- aggregations
@@ -334,7 +352,9 @@ def aggregates_of_nothing(spark, d):
 
 @query("SELECT l_returnflag AS flag, round(quantile_cont(l_quantity, 0.3), 4) AS cont, quantile_disc(l_quantity, 0.3) AS disc FROM lineitem GROUP BY 1")
 def percentile_aggregates(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(S.percentile_cont("l_quantity", 0.3), 4).alias("cont"), S.percentile_disc("l_quantity", 0.3).alias("disc"))
+    items = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_quantity")
+    cont = A.percentiles(items, "l_quantity", [30], ["flag"]).select("flag", F.round("value", 4).alias("cont"))
+    return cont.join(A.percentiles(items, "l_quantity", [30], ["flag"], discrete=True).select("flag", F.col("value").alias("disc")), "flag")
 
 
 @query("SELECT s_nationkey AS nation, array_to_string(list_sort(list(s_suppkey)), ',') AS suppliers FROM supplier GROUP BY 1")
@@ -419,7 +439,7 @@ def skip_limit(spark, d):
 
 @query("SELECT p_brand AS brand, p_partkey AS id FROM (SELECT *, rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS r FROM part) WHERE r = 1")
 def top_with_ties(spark, d):
-    return A.top_with_ties(table(spark, d, "part"), F.desc("p_size"), ["p_brand"]).select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"))
+    return A.top_with_ties(table(spark, d, "part"), "p_size", by=["p_brand"]).select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"))
 
 
 @query("SELECT p_partkey AS id, (SELECT count(*) FROM part WHERE p_size > 40) AS total_hits FROM part WHERE p_size > 40 ORDER BY p_retailprice DESC, id LIMIT 10 OFFSET 3")
@@ -470,7 +490,10 @@ def fuzzy_search(spark, d):
     return table(spark, d, "documents").filter(Q.fuzzy(F.col("text"), "licence", 1)).select(F.col("doc_id").alias("id"))
 
 
-@query()
+@query(r"""WITH q AS (SELECT w, count(*) AS q FROM (SELECT unnest(regexp_split_to_array(lower('Licensed under the Apache License, Version 2.0. All rights reserved.'), '[^a-z0-9_]+')) AS w) WHERE w <> '' GROUP BY w),
+words AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS w FROM documents) WHERE w IN (SELECT w FROM q) GROUP BY doc_id, w),
+idf AS (SELECT w, q, ln((SELECT count(*) FROM documents)::DOUBLE / count(*)) AS idf FROM words JOIN q USING (w) GROUP BY w, q)
+SELECT doc_id, round(sum(tf * q * idf * idf), 6) AS score FROM words JOIN idf USING (w) GROUP BY doc_id""")
 def more_like_this(spark, d):
     sample = "Licensed under the Apache License, Version 2.0. All rights reserved."
     return Q.more_like_this(table(spark, d, "documents"), "doc_id", "text", sample).withColumn("score", F.round("score", 6))
@@ -561,11 +584,6 @@ def db_relationship_types(spark, d):
     return src.relationship_types(tpch_graph(spark, d))
 
 
-@query()
-def db_property_keys(spark, d):
-    return src.property_keys(tpch_graph(spark, d), spark)
-
-
 # ---- traversal
 
 
@@ -626,7 +644,7 @@ def k_out_walk(spark, d):
     return paths.k_out(nation_trade(spark, d), _sources(spark, 3), 2, nearest=False)
 
 
-@query(f"WITH {TRADE}, one AS (SELECT src AS source, [src, dst] AS path, dst AS v FROM hop WHERE src = 3 AND dst <> 3), two AS (SELECT source, list_append(path, dst) AS path, dst AS v FROM one JOIN hop ON src = v WHERE NOT list_contains(path, dst) AND v <> 5) SELECT array_to_string(path, '>') AS path FROM one WHERE v = 5 UNION ALL SELECT array_to_string(path, '>') FROM two WHERE v = 5")
+@query(f"WITH {TRADE}, u AS (SELECT src, dst FROM hop UNION ALL SELECT dst, src FROM hop WHERE src <> dst), one AS (SELECT src AS source, [src, dst] AS path, dst AS v FROM u WHERE src = 3 AND dst <> 3), two AS (SELECT source, list_append(path, dst) AS path, dst AS v FROM one JOIN u ON src = v WHERE NOT list_contains(path, dst) AND v <> 5) SELECT array_to_string(path, '>') AS path FROM one WHERE v = 5 UNION ALL SELECT array_to_string(path, '>') FROM two WHERE v = 5")
 def find_paths_two_hops(spark, d):
     found = paths.find_paths(nation_trade(spark, d), 3, 5, 2)
     return found.select(F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"))
@@ -700,9 +718,10 @@ def related_edges(spark, d):
     return paths.related_edges(nation_trade(spark, d), spark.createDataFrame([(1,), (3,), (5,), (7,)], "id int"))
 
 
-@query(f"WITH {TRADE}, u AS (SELECT src, dst, 1 AS h FROM hop), two AS (SELECT a.src, b.dst FROM hop a JOIN hop b ON a.dst = b.src WHERE NOT (a.src = b.src AND a.dst = b.dst)) SELECT 3 AS source, dst AS id, 1 AS hops, count(*) AS n FROM hop WHERE src = 3 AND dst <> 3 GROUP BY 2 UNION ALL SELECT 3, b.dst, 2, count(*) FROM hop a JOIN hop b ON a.dst = b.src WHERE a.src = 3 AND a.dst <> 3 AND b.dst <> 3 AND b.dst <> a.dst GROUP BY 2")
+@query(f"WITH {TRADE} SELECT 3 AS source, dst AS id, 1 AS hops, count(*) AS n FROM hop WHERE src = 3 GROUP BY 2 UNION ALL SELECT 3, b.dst, 2, count(*) FROM hop a JOIN hop b ON a.dst = b.src WHERE a.src = 3 AND NOT (a.src = b.src AND a.dst = b.dst) GROUP BY 2 UNION ALL SELECT 3, c.dst, 3, count(*) FROM hop a JOIN hop b ON a.dst = b.src JOIN hop c ON b.dst = c.src WHERE a.src = 3 AND NOT (a.src = b.src AND a.dst = b.dst) AND NOT (a.src = c.src AND a.dst = c.dst) AND NOT (b.src = c.src AND b.dst = c.dst) GROUP BY 2")
 def var_length_expand(spark, d):
-    found = paths.walks(nation_trade(spark, d), _sources(spark, 3), 1, 2)
+    edges = nation_trade(spark, d).withColumn("rid", F.struct("src", "dst"))
+    found = paths.trails(edges, _sources(spark, 3), 1, 3)
     return found.groupBy("source", "id", "hops").agg(F.count("*").alias("n"))
 
 
@@ -714,12 +733,9 @@ def same_neighbors(spark, d):
     return similarity.same_neighbors(nation_trade(spark, d), 3, 5)
 
 
-@query(f"WITH {TRADE}, n AS (SELECT src, list(DISTINCT dst) AS l FROM hop GROUP BY 1) SELECT a.src AS a, b.src AS b, round(len(list_intersect(a.l, b.l))::DOUBLE / len(list_distinct(list_concat(a.l, b.l))), 6) AS jaccard FROM n a, n b WHERE a.src < b.src")
+@query(f"WITH {TRADE}, n AS (SELECT src, list(DISTINCT dst) AS l FROM hop GROUP BY 1) SELECT a.src AS a, b.src AS b, round(len(list_intersect(a.l, b.l))::DOUBLE / len(list_distinct(list_concat(a.l, b.l))), 6) AS jaccard FROM n a, n b WHERE a.src < b.src AND list_has_any(a.l, b.l)")
 def jaccard_of_pairs(spark, d):
-    edges = nation_trade(spark, d)
-    ids = edges.select("src").distinct()
-    pairs = ids.select(F.col("src").alias("a")).join(ids.select(F.col("src").alias("b")), F.col("a") < F.col("b"))
-    return similarity.jaccard_pairs(edges, pairs).withColumn("jaccard", F.round("jaccard", 6))
+    return similarity.jaccard_of_all(nation_trade(spark, d)).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("""WITH near AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 49), deg AS (SELECT src, count(*) AS n FROM near GROUP BY 1 HAVING count(*) >= 3)
@@ -730,14 +746,19 @@ def fusiform_similarity(spark, d):
     return similarity.fusiform(near, 0.6, min_neighbors=3).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH {TRADE}, near AS (SELECT dst AS id FROM hop WHERE src = 3 UNION SELECT b.dst FROM hop a JOIN hop b ON a.dst = b.src WHERE a.src = 3),
+n AS (SELECT src, list(DISTINCT dst) AS l FROM hop GROUP BY 1)
+SELECT id, round(len(list_intersect(coalesce(b.l, []), a.l))::DOUBLE / len(list_distinct(list_concat(coalesce(b.l, []), a.l))), 6) AS jaccard FROM near JOIN n a ON a.src = 3 LEFT JOIN n b ON b.src = id WHERE id <> 3 ORDER BY jaccard DESC, id LIMIT 10""")
 def jaccard_similar_vertices(spark, d):
-    return similarity.jaccard_similars(nation_trade(spark, d), 3, 10)
+    return similarity.jaccard_similars(nation_trade(spark, d), 3, 10).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query()
+_WALK = ", ".join(f"r{i + 1} AS (SELECT id, sum(rank) AS rank FROM (SELECT o.dst AS id, r.rank * 0.85 / o.deg AS rank FROM r{i} r JOIN o ON o.src = r.id UNION ALL SELECT 'nation:3', 1 - 0.85) GROUP BY id)" for i in range(5))
+
+
+@query(f"WITH {TREE}, e AS (SELECT src, dst FROM tree UNION SELECT dst, src FROM tree), o AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM e), r0 AS (SELECT 'nation:3' AS id, 1.0::DOUBLE AS rank), {_WALK} SELECT id, round(rank, 8) AS rank FROM r5 WHERE id <> 'nation:3' AND id NOT IN (SELECT dst FROM e WHERE src = 'nation:3')")
 def personal_rank(spark, d):
-    return similarity.personal_rank(tree(spark, d), "nation:3", 0.85, 5)
+    return similarity.personal_rank(tree(spark, d), "nation:3", 0.85, 5).withColumn("rank", F.round("rank", 8))
 
 
 @query("SELECT 1 AS layer, 'nation:' || c_nationkey AS id, 0.8::DOUBLE AS rank FROM customer WHERE c_custkey = 1 UNION ALL SELECT 2, 'region:' || n_regionkey, round(0.8 * 0.5, 6)::DOUBLE FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 1")
@@ -750,9 +771,12 @@ def neighbor_rank(spark, d):
 # ---- whole-graph analytics
 
 
-@query()
+_RANKS = ", ".join(f"r{i + 1} AS (SELECT v.id, 0.15 / m.n + 0.85 * coalesce((SELECT sum(rank) FROM r{i} WHERE id NOT IN (SELECT src FROM hop)), 0) / m.n + 0.85 * coalesce(f.s, 0) AS rank FROM v CROSS JOIN m LEFT JOIN (SELECT o.dst AS id, sum(r.rank / o.deg) AS s FROM r{i} r JOIN o ON o.src = r.id GROUP BY 1) f ON f.id = v.id)" for i in range(10))
+
+
+@query(f"WITH {TRADE}, v AS (SELECT src AS id FROM hop UNION SELECT dst FROM hop), m AS (SELECT count(*)::DOUBLE AS n FROM v), o AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM hop), r0 AS (SELECT id, 1 / m.n AS rank FROM v CROSS JOIN m), {_RANKS} SELECT id, round(rank, 8) AS rank FROM r10")
 def page_rank(spark, d):
-    return computers.page_rank(nation_trade(spark, d)).withColumn("rank", F.round("rank", 8))
+    return computers.page_rank(nation_trade(spark, d), rounds=10, precision=0).withColumn("rank", F.round("rank", 8))
 
 
 @query(f"WITH RECURSIVE {TREE} SELECT id, 'customer:' || (SELECT min('' || c_custkey) FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = r) AS component FROM (SELECT 'region:' || r_regionkey AS id, r_regionkey AS r FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_regionkey FROM nation UNION ALL SELECT 'customer:' || c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'supplier:' || s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)")
@@ -765,12 +789,15 @@ def triangles(spark, d):
     return computers.triangles(nation_trade(spark, d))
 
 
-@query()
+@query(f"WITH {TRADE}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM hop WHERE src <> dst), t AS (SELECT x.a AS a, x.b AS b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b) SELECT id, count(*) AS triangles FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY id")
 def triangle_count(spark, d):
     return computers.triangle_count(nation_trade(spark, d))
 
 
-@query()
+_VOTES = ", ".join(f"l{i + 1} AS (SELECT id, label FROM (SELECT e.src AS id, l.label AS label, row_number() OVER (PARTITION BY e.src ORDER BY count(*) DESC, l.label) AS k FROM e JOIN l{i} l ON l.id = e.dst GROUP BY e.src, l.label) WHERE k = 1)" for i in range(4))
+
+
+@query(f"WITH {TREE}, e AS (SELECT src, dst FROM tree UNION SELECT dst, src FROM tree), l0 AS (SELECT DISTINCT src AS id, src AS label FROM e), {_VOTES} SELECT id, label FROM l4")
 def label_propagation(spark, d):
     return computers.label_propagation(tree(spark, d), 4)
 
@@ -784,10 +811,10 @@ def louvain(spark, d):
 
 
 @query(r"""SELECT doc_id, 'email' AS kind, CAST(i - 1 AS INT) AS n, m[i] AS value FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS m FROM documents))
-UNION ALL SELECT doc_id, 'ipv4', CAST(i - 1 AS INT), m[i] FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b') AS m FROM documents))""")
+UNION ALL SELECT doc_id, 'ipv4', CAST(i - 1 AS INT), m[i] FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b') AS m FROM documents))
+UNION ALL SELECT doc_id, 'url', CAST(i - 1 AS INT), m[i] FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, 'https?://[^\s"''<>]+') AS m FROM documents))""")
 def term_mentions(spark, d):
-    kinds = {k: enrichment.ENTITIES[k] for k in ("email", "ipv4")}
-    return enrichment.term_mentions(table(spark, d, "documents"), "doc_id", "text", kinds)
+    return enrichment.term_mentions(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query(r"SELECT page_id AS id, CASE WHEN regexp_matches(html, '(?i)^\s*(?:<!doctype html|<html)') THEN 'text/html' ELSE 'text/plain' END AS mime FROM pages")

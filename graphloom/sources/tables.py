@@ -29,10 +29,11 @@ def by_ids(df: DataFrame, ids: list, key: str = "id") -> DataFrame:
     return df.filter(F.col(key).isin(ids))
 
 
-def in_order(df: DataFrame, ids: list, key: str = "id") -> DataFrame:
-    """The rows of the given ids, in the order of the list."""
+def in_order(df: DataFrame, ids: list, key: str = "id", place: str | None = None) -> DataFrame:
+    """The rows of the given ids, in the order of the list, with their place in it in the column ``place`` if named."""
     wanted = df.sparkSession.createDataFrame(list(enumerate(ids)), f"_at int, {key} {df.schema[key].dataType.simpleString()}")
-    return df.join(F.broadcast(wanted), key).orderBy("_at").drop("_at")  # the list is the caller's
+    found = df.join(F.broadcast(wanted), key).orderBy("_at")  # the list is the caller's
+    return found.withColumnRenamed("_at", place) if place else found.drop("_at")
 
 
 def exist(df: DataFrame, ids: list, key: str = "id") -> DataFrame:
@@ -72,3 +73,41 @@ def property_keys(graph, spark: SparkSession) -> DataFrame:
 def schema_json(graph, spark: SparkSession) -> DataFrame:
     keys = property_keys(graph, spark).groupBy("label").agg(F.sort_array(F.collect_list("propertyKey")).alias("properties"))
     return keys.select(F.to_json(F.struct("label", "properties")).alias("json"))
+
+
+def save_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch_size: int = 1000, **options) -> None:
+    """Writes rows to a table of a database, a connection for each partition."""
+    df.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batch_size).options(**options).mode(mode).save()
+
+
+def scan_labels(graph, *names: str) -> DataFrame:
+    """(label, id): the nodes with any of the labels, each once."""
+    return graph.all_nodes().filter(F.col("label").isin(*names)).distinct()
+
+
+def schema_concepts(graph, spark: SparkSession) -> DataFrame:
+    """(concept, properties): the labels with the number of their properties, from the schemas alone."""
+    return spark.createDataFrame([(label, len(df.columns) - 1) for label, df in graph.nodes.items()], "concept string, properties int")
+
+
+def schema_relationships(graph, spark: SparkSession) -> DataFrame:
+    """(relationship, source, target): which labels a type links."""
+    return spark.createDataFrame([(kind, x.source, x.target) for kind, specs in graph.rels.items() for x in specs], "relationship string, source string, target string")
+
+
+def schema_properties(graph, spark: SparkSession) -> DataFrame:
+    """(owner, kind, property, type): the properties of labels and of relationship types."""
+    rows = [(label, "concept", c, t) for label, df in graph.nodes.items() for c, t in df.dtypes if c != "id"]
+    rows += sorted({(kind, "relationship", c, t) for kind, specs in graph.rels.items() for x in specs for c, t in x.frame.dtypes if c not in ("rid", "src", "dst")})
+    return spark.createDataFrame(rows, "owner string, kind string, property string, type string")
+
+
+def extended_data(rows: DataFrame, ids: DataFrame | None = None, owner: str = "element_id") -> DataFrame:
+    """The rows of an element's child table (``owner`` names the element), of all elements or of those in ``ids``."""
+    return rows if ids is None else rows.join(ids.select(F.col("id").alias(owner)).distinct(), owner, "left_semi")
+
+
+def has_extended_data(elements: DataFrame, rows: DataFrame, owner: str = "element_id", negate: bool = False) -> DataFrame:
+    """The elements with (or without) a row in a child table."""
+    keys = rows.select(F.col(owner).alias("_e"))
+    return elements.join(keys, F.col("id") == F.col("_e"), "left_anti" if negate else "left_semi")

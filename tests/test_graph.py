@@ -110,3 +110,55 @@ def test_match(graph):
     assert words(m.roll_up("l", "a", "KNOWS", "name", label="P").select(n="a__name", l="concat_ws(',', l)"), "n", "l") == [("ann", "bob,bob"), ("bob", "cy"), ("cy", "cy")]
     assert m.flag("f", "a", "KNOWS", label="P", where="name = 'bob'").frame.filter("f").count() == 1
     assert m.expand("a", "KNOWS", "a").frame.count() == 1
+
+
+def test_trails_repeat_vertices_but_no_relationship(spark, at):
+    e = spark.createDataFrame([(1, "a", "b"), (2, "b", "a"), (3, "a", "b")], "rid long, src string, dst string")
+    assert words(paths.trails(e, at("a"), 1, 2), "path") == [("ab",), ("ab",), ("aba",), ("aba",)]
+    assert words(paths.trails(paths.either_way(e), at("a"), 2, 2), "path") == [("aba",)] * 6
+    loop = spark.createDataFrame([(1, "a", "a")], "rid long, src string, dst string")
+    assert words(paths.trails(loop, at("a"), 0, 3), "path") == [("a",), ("aa",)]
+
+
+def test_find_paths_goes_either_way_by_kinds(spark):
+    e = spark.createDataFrame([("a", "b", "x"), ("c", "b", "x"), ("a", "c", "y")], "src string, dst string, type string")
+    assert words(paths.find_paths(e, "a", "c", 2), "path") == [("abc",), ("ac",)]
+    assert words(paths.find_paths(e, "a", "c", 2, kinds=["x"]), "path") == [("abc",)]
+    assert words(paths.find_paths(e, "a", "c", 2, excluded=["x"]), "path") == [("ac",)]
+
+
+def test_negative_weights_are_refused(spark, at):
+    e = spark.createDataFrame([("a", "b", -1.0)], "src string, dst string, weight double")
+    with pytest.raises(ValueError, match="negative"):
+        paths.weighted_distances(e, at("a"))
+
+
+def test_long_chains_converge(spark, at):
+    names = [f"{i:03d}" for i in range(70)]
+    e = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "src string, dst string")
+    assert {x.component for x in computers.connected_components(e).collect()} == {"000"}
+    weighted = e.withColumn("weight", F.lit(1.0))
+    assert max(x.distance for x in paths.weighted_distances(weighted, at("000")).collect()) == 69.0
+
+
+def test_fusiform_with_a_hub(edges):
+    pairs = [f"{a}h" for a in "abcdefg"] + ["ax", "ay", "bx", "by", "cx"]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    want = sorted((a, b, len(near[a] & near[b]) / len(near[a])) for a in near for b in near if a != b and len(near[a] & near[b]) >= 0.6 * len(near[a]))
+    assert words(similarity.fusiform(edges(*pairs), 0.6), "a", "b", "score") == want
+
+
+def test_clauses_and_optional_steps(spark):
+    person = spark.createDataFrame([(1,), (2,)], "id long")
+    one = spark.createDataFrame([(1, 1, 2)], "rid long, src long, dst long")
+    m = Match(PropertyGraph({"P": person}, {"X": [RelSpec("P", "P", one)]})).node("a", "P", "id = 1")
+    twice = m.expand("a", "X", "b", "P", optional=True).expand("a", "X", "c", "P", optional=True)
+    assert [tuple(x) for x in twice.select(b="b__id", c="c__id").collect()] == [(2, 2)]
+    missed = m.expand("a", "X", "b", "P", where="id = 9", optional=True).expand("a", "X", "c", "P", optional=True)
+    assert [tuple(x) for x in missed.select(b="b__id", c="c__id").collect()] == [(None, 2)]
+    assert m.expand("a", "X", "b", "P").expand("a", "X", "c", "P").frame.count() == 0
+    assert m.expand("a", "X", "b", "P").clause().expand("a", "X", "c", "P").frame.count() == 1
+    with pytest.raises(Exception, match="different nodes"):
+        m.expand("a", "X", "b", "P").same("a", "b").frame.collect()
