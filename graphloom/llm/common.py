@@ -145,6 +145,18 @@ def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
     return df.join(first, [by, "part"], "left").withColumn(out, F.col("_first") + F.col("local")).drop("_first")
 
 
+#: The places that a key of a salted join is dealt to.
+SALTS = 16
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``many`` joined with ``few``, whose keys are different: each of its rows stands in ``salts`` places, so that a key of
+    very many rows is met by as many tasks. ``by`` names a column of ``many`` that differs among rows of one key."""
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``edges``; isolated nodes are not listed.
 
@@ -158,8 +170,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels, before = materialise(both.groupBy("node").agg(F.min("other").alias("component"))), None
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("component"))
-        hop = labels.select(F.col("node").alias("component"), F.col("component").alias("hop"))
-        new = materialise(near.join(hop, "component").select("node", F.least("component", "hop").alias("component")))
+        # only labels that are not their own label lead on; a component of any size has one label, hence the salt
+        hop = labels.filter("node <> component").select(F.col("node").alias("component"), F.col("component").alias("hop"))
+        new = materialise(salted_join(near, hop, ["component"], "node", "left").select("node", F.least("component", "hop").alias("component")))
         after = new.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         discard(labels)
         labels = new

@@ -7,14 +7,18 @@ on either side cannot lift the overlap to what the threshold needs.
 How the work is spread:
 
 1. One pass over the texts makes the shingle sets. Sets are named by a fingerprint, so equal sets are one set from
-   here on. Shingles travel as packed arrays, dealt by the value of the shingle.
+   here on. Shingles travel as packed arrays, dealt by the value of the shingle into as many buckets as the texts need.
 2. Per shingle: the number of different sets that hold it. A shingle of one set alone can link nothing and is dropped.
+   A hot shingle (of LOCAL sets in one group of texts, or of more than LISTED sets) is only marked: it is the last in the
+   order, its holders go on to their sets without being gathered, so neither a task nor a list grows with it.
 3. Per set: its repeated shingles by (frequency, value). A set whose unique shingles fill its whole prefix
    (n - ceil(t n) + 1 rarest shingles) has no partner and is done.
 4. Candidates are sets that share a shingle of both prefixes. First a leader of each shingle probes the tries of the
-   sets that hold it; the links found make components. Where a shingle is still in different components, the sets
-   probe the tries of their whole cluster, skipping their own component. So no link between components is missed, and
-   a group whose sets are linked anyway is not expanded into all its pairs.
+   sets that hold it; the links found make components. Where a shingle is still in different components, the sets that
+   hang together over such shingles are a cluster. The sets of a cluster of at most CLUSTER sets probe its tries. In a
+   larger cluster they probe the tries of the shingle's own holders of a similar size, and a pair is met only at the
+   first shingle that both prefixes have. So no link between components is missed, a group whose sets are linked anyway
+   is not expanded into all its pairs, and a cluster that has no end is not compared with itself.
 """
 
 from __future__ import annotations
@@ -23,15 +27,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import GROUP_BYTES, U, components, materialise, partitions, rows_of, slices, small_batches
+from .common import GROUP_BYTES, U, components, materialise, partitions, rows_of, salted_join, slices, small_batches
 from .shingles import shingle_sets, signature
 
-#: Sets that one trie holds.
-TRIE_SETS = 512
+#: Sets that one trie holds, and sets of a cluster that is compared as a whole.
+TRIE_SETS, CLUSTER = 512, 8192
+#: Bytes of text for a bucket of shingles and for a group of texts whose shingles travel together.
+BUCKET_BYTES, TEXT_BYTES = 64 << 20, 8 << 20
+#: Sets of a group of texts, and sets of a bucket's list, from which a shingle is hot.
+LOCAL, LISTED = 128, 1 << 14
+#: The frequency that stands for all hot shingles.
+HOT = (1 << 31) - 1
+#: Shingles that a bucket takes in before it looks for hot ones.
+TAKEN = 2 << 20
 _PACKED = "bucket int, kind int, ids binary, sizes binary, owner binary, tokens binary, extra binary"
-_SETS = "kind int, sig long, n long, freq array<int>, tokens array<long>, doc_id long"
+_SETS = "kind int, sig long, n long, freq array<int>, tokens array<long>, docs array<long>"
 
 
 def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -61,7 +74,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 8 << 20) -> I
 
 
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in ("ids", "sizes", "owner", "tokens", "extra"))])
-_SETS_ARROW = pa.schema([("kind", pa.int32()), ("sig", pa.int64()), ("n", pa.int64()), ("freq", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64())), ("doc_id", pa.int64())])
+_SETS_ARROW = pa.schema([("kind", pa.int32()), ("sig", pa.int64()), ("n", pa.int64()), ("freq", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
 
 
 def _columns(batches) -> Iterator[tuple]:
@@ -70,22 +83,36 @@ def _columns(batches) -> Iterator[tuple]:
 
 
 def _shingled(key: str, text: str, size: int, buckets: int):
+    """Packed rows: 0 shingles with their sets and 3 marks of hot ones, for the bucket of the shingle; 2 hot shingles for
+    the bucket of the set; 1 documents with their sets, for any bucket."""
+
     def run(batches):
         def rows():
-            for group in slices(((k, t or b"") for k, t in rows_of(batches, key, text)), GROUP_BYTES):
-                sets = shingle_sets([t for _, t in group], size)
+            place = TaskContext.get().partitionId()
+            for group in slices(((k, t or b"") for k, t in rows_of(batches, key, text)), TEXT_BYTES):
+                sets = [s for part in slices(((None, t) for _, t in group), GROUP_BYTES) for s in shingle_sets([t for _, t in part], size)]
                 sigs = np.array([signature(s) for s in sets], np.int64)
                 ns = np.array([len(s) for s in sets], np.int64)
                 docs = np.array([-1 if k is None else k for k, _ in group], np.int64)
                 valid = np.array([k is not None for k, _ in group])
-                home = _bucket(sigs.view(U), buckets)
-                yield from _packed(1, sigs, ns, np.arange(len(group)), docs, valid.astype(np.uint32), home, buckets)
+                place = (place + 1) % buckets
+                yield from _packed(1, sigs, ns, np.arange(len(group)), docs, valid.astype(np.uint32), np.full(len(group), place), buckets)
                 _, first = np.unique(sigs, return_index=True)
                 first = first[ns[first] > 0]
-                if len(first):
-                    tokens = np.concatenate([sets[i] for i in first])
-                    owner = np.repeat(np.arange(len(first)), ns[first])
-                    yield from _packed(0, sigs[first], ns[first], owner, tokens, None, _bucket(tokens, buckets), buckets)
+                if not len(first):
+                    continue
+                tokens = np.concatenate([sets[i] for i in first])
+                owner = np.repeat(np.arange(len(first)), ns[first])
+                ids, sizes = sigs[first], ns[first]
+                if len(first) >= LOCAL:
+                    value, count = np.unique(tokens, return_counts=True)
+                    hot = value[count >= LOCAL]
+                    if len(hot):
+                        is_hot = np.isin(tokens, hot)
+                        yield from _packed(2, ids, sizes, owner[is_hot], tokens[is_hot], np.full(int(is_hot.sum()), HOT, np.uint32), _bucket(ids.view(U), buckets)[owner[is_hot]], buckets)
+                        yield from _packed(3, ids[:1], sizes[:1], np.zeros(len(hot), np.int64), hot, None, _bucket(hot, buckets), buckets)
+                        tokens, owner = tokens[~is_hot], owner[~is_hot]
+                yield from _packed(0, ids, sizes, owner, tokens, None, _bucket(tokens, buckets), buckets)
 
         return _batches(rows(), _PACKED_ARROW)
 
@@ -98,42 +125,81 @@ def _read(row) -> tuple:
     return ids, sizes, owner, np.frombuffer(row[5], U)
 
 
+class Holders:
+    """The sets that hold each shingle of a bucket, as they come in; shingles with too many are let go as hot."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.size = self.seen = 0
+        self.hot = np.zeros(0, U)
+
+    def add(self, tokens: np.ndarray, sigs: np.ndarray, ns: np.ndarray) -> None:
+        self.parts.append((tokens, sigs, ns))
+        self.size += len(tokens)
+
+    def sorted(self, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different (shingle, set) pairs in order; at the end without the shingles of one entry."""
+        tokens, sigs, ns = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts.clear()
+        if last:
+            order = np.argsort(tokens)
+            t = tokens[order]
+            keep = np.zeros(len(t) + 1, bool)
+            keep[1:-1] = t[1:] == t[:-1]
+            order = order[keep[1:] | keep[:-1] | np.isin(t, self.hot)]
+            tokens, sigs, ns = tokens[order], sigs[order], ns[order]
+        order = np.lexsort((sigs, tokens))
+        tokens, sigs, ns = tokens[order], sigs[order], ns[order]
+        new = np.ones(len(tokens), bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (sigs[1:] != sigs[:-1])
+        return tokens[new], sigs[new], ns[new]
+
+    def released(self, last: bool = False) -> tuple[np.ndarray, ...] | None:
+        """(tokens, sigs, ns, freq) that go on: those of hot shingles, at the end all of two sets or more."""
+        if not self.parts:
+            return None
+        tokens, sigs, ns = self.sorted(last)
+        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
+        freq = np.diff(np.r_[first, len(tokens)])
+        self.hot = np.union1d(self.hot, tokens[first[freq > LISTED]])
+        freq = np.where(np.isin(tokens[first], self.hot), HOT, freq)
+        freq = np.repeat(freq, np.diff(np.r_[first, len(tokens)]))
+        go = freq > 1 if last else freq == HOT
+        if not last:
+            self.parts.append((tokens[~go], sigs[~go], ns[~go]))
+            self.size = self.seen = len(tokens) - int(go.sum())
+        return tokens[go], sigs[go], ns[go], freq[go]
+
+
 def _counted(buckets: int):
     """Per shingle, the sets that hold it; keeps the shingles of two sets or more, with their frequency."""
 
     def run(batches):
+        def sent(found):
+            tokens, sigs, ns, freq = found
+            if len(tokens):
+                ids, first, owner = np.unique(sigs, return_index=True, return_inverse=True)
+                yield from _packed(0, ids, ns[first].astype(np.int64), owner, tokens, freq.astype(np.uint32), _bucket(sigs.view(U), buckets), buckets)
+
         def rows():
-            parts = []
+            held, at = Holders(), None
             for row in _columns(batches):
-                if row[1] == 1:
+                if row[0] != at:
+                    if found := held.released(last=True):
+                        yield from sent(found)
+                    held, at = Holders(), row[0]
+                if row[1] in (1, 2):
                     yield row
                     continue
                 ids, sizes, owner, tokens = _read(row)
-                parts.append((tokens, ids[owner], sizes[owner].astype(np.int32)))
-            if not parts:
-                return
-            tokens, sigs, ns = (np.concatenate(x) for x in zip(*parts, strict=True))
-            parts.clear()
-            order = np.argsort(tokens)
-            t = tokens[order]
-            same = np.zeros(len(t), bool)
-            same[1:] = t[1:] == t[:-1]
-            keep = same.copy()
-            keep[:-1] |= same[1:]
-            order = order[keep]
-            tokens, sigs, ns = tokens[order], sigs[order], ns[order]
-            order = np.lexsort((sigs, tokens))
-            tokens, sigs, ns = tokens[order], sigs[order], ns[order]
-            new = np.ones(len(tokens), bool)
-            new[1:] = (tokens[1:] != tokens[:-1]) | (sigs[1:] != sigs[:-1])
-            tokens, sigs, ns = tokens[new], sigs[new], ns[new]
-            _, place, freq = np.unique(tokens, return_inverse=True, return_counts=True)
-            freq = freq[place] if len(tokens) else np.zeros(0, np.int64)
-            keep = freq > 1
-            tokens, sigs, ns, freq = tokens[keep], sigs[keep], ns[keep], freq[keep]
-            if len(tokens):
-                ids, first, owner = np.unique(sigs, return_index=True, return_inverse=True)
-                yield from _packed(0, ids, ns[first].astype(np.int64), owner, tokens, freq.astype(np.uint32), _bucket(sigs.view(U), buckets), buckets)
+                if row[1] == 3:
+                    held.hot = np.union1d(held.hot, tokens)
+                else:
+                    held.add(tokens, ids[owner], sizes[owner].astype(np.int32))
+                    if held.size > 2 * held.seen + TAKEN:
+                        yield from sent(held.released())
+            if found := held.released(last=True):
+                yield from sent(found)
 
         return _batches(rows(), _PACKED_ARROW)
 
@@ -149,21 +215,30 @@ def _ordered(num: int, den: int):
 
     def run(batches):
         def rows():
-            parts = []
+            parts, at = [], None
             for row in _columns(batches):
+                if row[0] != at:
+                    yield from settled(parts)
+                    parts, at = [], row[0]
                 ids, sizes, owner, tokens = _read(row)
                 extra = np.frombuffer(row[6], np.uint32)
-                if row[1] == 1:
+                if row[1] == 1:  # the documents of each set
+                    held: dict[int, list] = {}
                     for i, doc, valid in zip(owner.tolist(), tokens.view(np.int64).tolist(), extra.tolist(), strict=True):
-                        yield 1, int(ids[i]), int(sizes[i]), None, None, doc if valid else None
+                        held.setdefault(i, []).append(doc if valid else None)
+                    yield from ((1, int(ids[i]), int(sizes[i]), None, None, docs) for i, docs in held.items())
                 else:
                     parts.append((ids[owner], sizes[owner], tokens, extra))
+            yield from settled(parts)
+
+        def settled(parts):
             if not parts:
                 return
             sigs, ns, tokens, freq = (np.concatenate(x) for x in zip(*parts, strict=True))
-            parts.clear()
             order = np.lexsort((tokens, freq, sigs))
             sigs, ns, tokens, freq = sigs[order], ns[order], tokens[order], freq[order]
+            new = np.r_[True, (sigs[1:] != sigs[:-1]) | (tokens[1:] != tokens[:-1])]  # a hot one may come from several groups
+            sigs, ns, tokens, freq = sigs[new], ns[new], tokens[new], freq[new]
             first = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
             bounds = np.r_[first, len(sigs)]
             n, repeated = ns[first], np.diff(bounds)
@@ -213,14 +288,19 @@ class Trie:
             self.shared.append(int(differ[0]) if len(differ) else m)
         self.shared.append(0)
 
-    def probe(self, n: int, freq: np.ndarray, tokens: np.ndarray, comp: int, num: int, den: int, joined: Joined | None = None) -> list[int]:
+    def probe(self, n: int, freq: np.ndarray, tokens: np.ndarray, comp: int, num: int, den: int, joined: Joined | None = None, first: int | None = None) -> list[int]:
         """The sets of other components whose Jaccard similarity with the probe is at least num / den.
 
+        With ``first``, a shingle that all have, only those with which the probe shares no shingle before it in the order.
+
         With ``joined`` a component that a link already reaches counts as the probe's own, and each link found adds to it.
         """
         joined = joined or Joined()
         mine = joined.root(comp)
         values = np.sort(tokens.view(U))
+        earlier = np.zeros(0, U)
+        if first is not None:
+            earlier = np.sort(tokens.view(U)[: int(np.flatnonzero(tokens.view(U) == U(first))[0])])
         need = lambda m: -(-num * (n + m) // (num + den))
         least = need(max(min(self.n), -(-n * num // den)))
         found, path, dead = [], [(0, 0)], 0
@@ -238,6 +318,11 @@ class Trie:
             for end in (branch, len(leaf)):
                 if end <= at:
                     continue
+                if len(earlier):
+                    there = np.flatnonzero(earlier[np.minimum(np.searchsorted(earlier, leaf[at:end]), len(earlier) - 1)] == leaf[at:end])
+                    if len(there):  # met at that shingle
+                        dead = at + int(there[0]) + 1
+                        break
                 where = np.searchsorted(values, leaf[at:end])
                 where[where == len(values)] = 0
                 overlap += int(np.count_nonzero(values[where] == leaf[at:end]))
@@ -255,10 +340,11 @@ class Trie:
         return found
 
 
-def _probed(num: int, den: int):
+def _probed(num: int, den: int, by_shingle: bool = False):
     """Rows (group, chunk, slot, role, sig, comp, n, freq, tokens) in this order: role 1 probes the trie of role 0.
 
     The links of one trie are a forest over its components: a link between parts that are joined already is not emitted.
+    With ``by_shingle`` the group is a shingle at which its pairs are to be met.
     """
 
     def run(batches):
@@ -277,18 +363,18 @@ def _probed(num: int, den: int):
                         members.append(one)
                     elif members:
                         trie = trie or Trie(members)
-                        yield from ((sig[i], x) for x in trie.probe(*one[1:4], one[4], num, den, joined))
+                        yield from ((sig[i], x) for x in trie.probe(*one[1:4], one[4], num, den, joined, group[i] % (1 << 64) if by_shingle else None))
 
         return _batches(rows(), schema)
 
     return run
 
 
-def _links(members: DataFrame, probes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _links(members: DataFrame, probes: DataFrame, sets: DataFrame, num: int, den: int, by_shingle: bool = False) -> DataFrame:
     """Links between probes and members (group, chunk, slot, sig, comp) of the same group, chunk and slot."""
     rows = members.withColumn("role", F.lit(0)).unionByName(probes.withColumn("role", F.lit(1))).join(sets, "sig")
     rows = rows.select("group", "chunk", "slot", "role", "sig", "comp", "n", "freq", "tokens")
-    return rows.repartition(partitions(sets.sparkSession), "group", "chunk", "slot").sortWithinPartitions("group", "chunk", "slot", "role").mapInArrow(_probed(num, den), "a long, b long")
+    return rows.repartition(partitions(sets.sparkSession), "group", "chunk", "slot").sortWithinPartitions("group", "chunk", "slot", "role").mapInArrow(_probed(num, den, by_shingle), "a long, b long")
 
 
 def _leaders(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -301,16 +387,20 @@ def _leaders(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return _links(members, probes, sets, num, den)
 
 
-def _clusters(open_: DataFrame, clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All links between different components of a cluster, for the sets (sig, comp) of ``open_``.
+def _whole(held: DataFrame, by: list[str]) -> DataFrame:
+    """For each group ``by`` of (sig, comp): its number of sets m, that of its largest component and its name main."""
+    sizes = held.groupBy(*by, "comp").agg(F.count("*").alias("k"))
+    whole = sizes.groupBy(*by).agg(F.sum("k").alias("m"), F.max(F.struct("k", "comp")).alias("top")).filter("m > top.k")
+    return whole.select(*by, "m", F.col("top.k").alias("k"), F.col("top.comp").alias("main"))
+
+
+def _clusters(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All links between different components of a cluster, for the sets (cluster, sig, comp) of small clusters.
 
     The sets of a cluster lie in chunks of about TRIE_SETS, each a trie. Sets outside the largest component probe all
     chunks of their cluster; probes come in slots of about TRIE_SETS as well, so a task holds two such parts at most.
     """
-    held = open_.join(clusters, "comp")
-    sizes = held.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
-    whole = sizes.groupBy("cluster").agg(F.sum("k").alias("m"), F.max(F.struct("k", "comp")).alias("top")).filter("m > top.k")
-    whole = whole.select("cluster", F.expr(f"cast(ceil(m / {TRIE_SETS}) as int)").alias("chunks"), F.expr(f"cast(ceil((m - top.k) / {TRIE_SETS}) as int)").alias("slots"), F.col("top.comp").alias("main"))
+    whole = _whole(held, ["cluster"]).select("cluster", F.expr(f"cast(ceil(m / {TRIE_SETS}) as int)").alias("chunks"), F.expr(f"cast(ceil((m - k) / {TRIE_SETS}) as int)").alias("slots"), "main")
     held = held.join(whole, "cluster").select(F.col("cluster").alias("group"), "sig", "comp", "main", "chunks", "slots")
     own = F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int")
     members = held.select("group", own.alias("chunk"), F.explode(F.expr("sequence(0, slots - 1)")).alias("slot"), "sig", "comp")
@@ -319,6 +409,27 @@ def _clusters(open_: DataFrame, clusters: DataFrame, sets: DataFrame, num: int,
     return _links(members, probes, sets, num, den)
 
 
+def _postings(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All links between different components of the holders (token, sig, comp, n) of a shingle, met at their first one.
+
+    Holders lie in bands of size, which differ by the factor that a link allows at most, and in chunks of about TRIE_SETS;
+    those outside the shingle's largest component probe their own band and the ones beside it.
+    """
+    banded = held.withColumn("band", F.expr(f"cast(floor(ln(n) / (1.000001D * ln({den} / {num}))) as int)"))
+    banded = salted_join(banded, _whole(held, ["token"]).select("token", "main"), ["token"], "sig")
+    # how many tries a band has, and how many slots the probes of a band come in
+    counts = banded.groupBy("token", "band").agg(F.count("*").alias("m"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("p"))
+    near = counts.select("token", "p", F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band")).groupBy("token", "band").agg(F.sum("p").alias("p"))
+    plan = counts.drop("p").join(near, ["token", "band"]).filter("p > 0").select("token", "band", F.expr(f"cast(ceil(m / {TRIE_SETS}) as int)").alias("chunks"), F.expr(f"cast(ceil(p / {TRIE_SETS}) as int)").alias("slots"))
+    own = F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int")
+    inner = F.expr("band * 1000000 + chunk")
+    members = salted_join(banded, plan, ["token", "band"], "sig").withColumn("chunk", own).select(F.col("token").alias("group"), inner.alias("chunk"), F.explode(F.expr("sequence(0, slots - 1)")).alias("slot"), "sig", "comp")
+    wide = banded.filter("comp <> main").withColumn("band", F.explode(F.expr("sequence(band - 1, band + 1)")))
+    place = F.pmod(F.xxhash64("sig", F.lit(1)), F.col("slots")).cast("int")
+    probes = salted_join(wide, plan, ["token", "band"], "sig").select("*", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk")).select(F.col("token").alias("group"), inner.alias("chunk"), place.alias("slot"), "sig", "comp")
+    return _links(members, probes, sets, num, den, by_shingle=True)
+
+
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 3, den: int = 4, rounds: int = 2) -> DataFrame:
     """(key, n_shingles, component_id) for each row of ``docs``.
 
@@ -328,11 +439,15 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     Other columns of ``docs`` are not read, so their names cannot clash. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    buckets = partitions(docs.sparkSession)
-    packed = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_shingled("doc_id", "text", size, buckets), _PACKED)
-    counted = packed.repartition(buckets, "bucket").mapInArrow(_counted(buckets), _PACKED)
-    found = materialise(counted.repartition(buckets, "bucket").mapInArrow(_ordered(num, den), _SETS))
-    rows = found.filter("kind = 1").select("sig", "n", "doc_id")
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    size_of_all = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), -(-int(size_of_all) // BUCKET_BYTES))
+    packed = texts.mapInArrow(_shingled("doc_id", "text", size, buckets), _PACKED)
+    # marks of hot shingles come before the lists
+    by_bucket = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.desc("kind"))
+    counted = by_bucket(packed).mapInArrow(_counted(buckets), _PACKED)
+    found = materialise(by_bucket(counted).mapInArrow(_ordered(num, den), _SETS))
+    rows = found.filter("kind = 1").select("sig", "n", "docs")
     sets = found.filter("kind = 0").select("sig", "n", "freq", "tokens")
     # the part of the prefix that the unique shingles leave
     reach = F.expr(f"cast(n - ceil(n * {num} / {den}) + 1 - (n - size(tokens)) as int)")
@@ -342,7 +457,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         held = prefix.join(_labels(sets, links), "sig") if turn else prefix.withColumn("comp", F.col("sig"))
         rank = F.struct(F.xxhash64("sig", F.lit(turn)), F.col("sig"), F.col("n"), F.col("comp"))
         leader = held.groupBy("token").agg(F.min(rank).alias("lead"), (F.min("comp") < F.max("comp")).alias("open")).filter("open").select("token", F.col("lead.sig").alias("a"), F.col("lead.n").alias("na"), F.col("lead.comp").alias("ca"))
-        near = held.join(leader, "token").filter(f"ca <> comp and {den} * least(n, na) >= {num} * greatest(n, na)")
+        near = salted_join(held, leader, ["token"], "sig", salts=4).filter(f"ca <> comp and {den} * least(n, na) >= {num} * greatest(n, na)")
         # a set goes to the leader with which it shares most
         shared = near.groupBy("sig", "a").agg(F.count("*").alias("k"), F.first("comp").alias("cb"), F.first("ca").alias("ca"))
         pairs = shared.groupBy("sig").agg(F.max(F.struct("k", "a", "ca", "cb")).alias("p")).select("p.a", "p.ca", F.col("sig").alias("b"), "p.cb")
@@ -350,19 +465,27 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         links = materialise(new if links is None else links.unionByName(new))
     held = prefix.join(_labels(sets, links), "sig")
     mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", "lo")
-    still = materialise(held.join(mixed, "token").select("sig", "comp", "lo").distinct())
+    still = materialise(salted_join(held, mixed, ["token"], "sig", salts=4).select("token", "sig", "n", "comp", "lo"))
     # components that share a prefix shingle are in one cluster: along one edge of each first, then what that left apart;
     # a component that is the least of all its shingles has an edge to itself, so that the second step meets it
     first = components(still.groupBy(F.col("comp").alias("a")).agg(F.min("lo").alias("b"))).select(F.col("node").alias("comp"), F.col("component").alias("near"))
     apart = still.select("comp", "lo").distinct().join(first, "comp").join(first.select(F.col("comp").alias("lo"), F.col("near").alias("other")), "lo").filter("near <> other").select("near", "other").distinct()
     joined = components(apart, "near", "other").select(F.col("node").alias("near"), F.col("component").alias("cluster"))
     clusters = materialise(first.join(joined, "near", "left").select("comp", F.coalesce("cluster", "near").alias("cluster")))
-    links = materialise(links.unionByName(_clusters(still.select("sig", "comp").distinct(), clusters, sets, num, den)))
-    smallest = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc"))
+    open_ = materialise(salted_join(still.select("sig", "comp").distinct(), clusters, ["comp"], "sig").select("cluster", "sig", "comp"))
+    large = open_.groupBy("cluster").count().filter(F.col("count") > CLUSTER).select("cluster", F.lit(True).alias("large"))
+    sized = materialise(salted_join(open_, large, ["cluster"], "sig", "left"))
+    near, far = sized.filter("large is null"), sized.filter("large")
+    links = links.unionByName(_clusters(near.select("cluster", "sig", "comp"), sets, num, den))
+    links = links.unionByName(_postings(still.select("token", "sig", "n", "comp").join(far.select("sig"), "sig", "left_semi"), sets, num, den))
+    links = materialise(links)
+    smallest = rows.filter("n > 0").groupBy("sig").agg(F.min(F.array_min("docs")).alias("doc"))
     named = smallest.join(_labels(sets, links), "sig", "left").select("sig", "doc", F.coalesce("comp", "sig").alias("comp"))
     name = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    by_set = named.join(name, "comp").select("sig", "component_id")
-    return rows.join(by_set, "sig", "left").select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_set = salted_join(named, name, ["comp"], "sig").select("sig", "component_id")
+    # rows hold the documents of a set in one group of texts, so a set with many copies is no hot key
+    out = rows.join(by_set, "sig", "left").select("n", "component_id", F.explode("docs").alias("doc"))
+    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
 
 
 def _labels(sets: DataFrame, links: DataFrame) -> DataFrame:

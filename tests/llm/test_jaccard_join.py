@@ -67,6 +67,29 @@ def test_against_all_pairs(spark, documents, seed):
     assert sorted(got) == brute(rows)
 
 
+def rows_of_one_cluster(seed):
+    """Families apart from each other by more than a link, but chained by shared halves; a shingle that all hold."""
+    rng = random.Random(seed)
+    rows, common = [], "the one line that all have in here"
+    parts = [[f"c{i}x{j}" for j in range(30)] for i in range(9)]
+    for i in range(80):
+        a = rng.randrange(8)
+        words = [*parts[a], *parts[a + 1], *common.split()]
+        rows.append((i, " ".join(edited(words, rng.randrange(0, 9), rng))))
+    return [*rows, *((200 + i, common) for i in range(20)), *((300 + i, rows[0][1]) for i in range(20))]
+
+
+@pytest.mark.parametrize(("seed", "cluster"), [(1, 8192), (2, 0), (3, 0), (4, 10)])
+def test_tries_clusters_and_hot_shingles(spark, documents, monkeypatch, seed, cluster):
+    from graphloom.llm import jaccard_join as J
+
+    for name, value in {"TRIE_SETS": 4, "CLUSTER": cluster, "LOCAL": 6, "LISTED": 7, "TAKEN": 50, "TEXT_BYTES": 3000, "GROUP_BYTES": 1000, "BUCKET_BYTES": 4000}.items():
+        monkeypatch.setattr(J, name, value)
+    rows = rows_of_one_cluster(seed) if seed % 2 else rows_with_families(seed) + [(1000 + d, t) for d, t in rows_of_one_cluster(seed)]
+    got = [tuple(x) for x in jaccard_join(documents(rows), rounds=1).collect()]
+    assert sorted(got) == brute(rows)
+
+
 def test_repeated_rows_null_keys_and_ties(spark, documents):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, "q")]
     got = sorted(map(tuple, jaccard_join(documents(rows)).collect()), key=str)
@@ -113,3 +136,25 @@ def test_component_that_is_least_of_all_its_shingles(spark, documents):
         want += brute(rows[-1:])
     got = [tuple(x) for x in jaccard_join(documents(rows)).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_holders_let_hot_shingles_go(monkeypatch):
+    from graphloom.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "LISTED", 5)
+    rng, held, want, out = np.random.default_rng(3), J.Holders(), defaultdict(set), []
+    held.hot = np.array([29], np.uint64)  # marked from outside
+    for _ in range(12):
+        tokens, sigs = (rng.integers(0, 30, 40) ** 2 % 31).astype(np.uint64), rng.integers(0, 60, 40)
+        for t, s in zip(tokens.tolist(), sigs.tolist(), strict=True):
+            want[t].add(s)
+        held.add(tokens, sigs, sigs + 1)
+        out.append(held.released())
+    out.append(held.released(last=True))
+    got = defaultdict(set)
+    for tokens, sigs, ns, freq in out:
+        assert (ns == sigs + 1).all()
+        for t, s, f in zip(tokens.tolist(), sigs.tolist(), freq.tolist(), strict=True):
+            got[t].add(s)
+            assert f == (J.HOT if len(want[t]) > 5 or t == 29 else len(want[t]))
+    assert got == {t: s for t, s in want.items() if len(s) > 1 or t == 29}
