@@ -12,24 +12,25 @@ from pyspark.sql.window import Window
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+BASES = (BASE, 0xD6E8FEB86659FD93)
 #: Bytes of text that one vectorised step works on; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 17
 #: Bytes of text whose results are packed together.
 GROUP_BYTES = 1 << 20
 _powers: dict[str, np.ndarray] = {}
-_byte_codes = np.random.default_rng(20).integers(1, 2**63, 256, dtype=U) | U(1)
+_byte_codes = np.random.default_rng(20).integers(1, 2**63, (2, 256), dtype=U) | U(1)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i <= n."""
-    if "p" not in _powers or len(_powers["p"]) <= n:
+def powers(n: int, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """BASES[kind]**i and its inverse modulo 2**64 for i <= n."""
+    p, q = f"p{kind}", f"q{kind}"
+    if p not in _powers or len(_powers[p]) <= n:
         size = max(n + 1, SLICE_BYTES + (SLICE_BYTES >> 2))
-        for key, base in (("p", BASE), ("q", INVERSE)):
+        for key, base in ((p, BASES[kind]), (q, pow(BASES[kind], -1, 1 << 64))):
             steps = np.full(size, base, U)
             steps[0] = 1
             _powers[key] = np.multiply.accumulate(steps)
-    return _powers["p"], _powers["q"]
+    return _powers[p], _powers[q]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,13 +44,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Fingerprints of substrings of one byte buffer, position independent."""
+    """Fingerprints of substrings of one byte buffer, position independent; two kinds that are independent."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, kind: int = 0):
         n = len(data)
-        p, self.inv = powers(n)
+        p, self.inv = powers(n, kind)
         self.sums = np.zeros(n + 1, U)
-        np.cumsum(_byte_codes[data] * p[:n], out=self.sums[1:])
+        np.cumsum(_byte_codes[kind][data] * p[:n], out=self.sums[1:])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inv[start] + (end - start).astype(U))

@@ -4,6 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
+
+def by_symbol(symbols: np.ndarray) -> np.ndarray:
+    """The places of non-negative integers in ascending order of their values: radix sorting, 16 bits at a time."""
+    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
+    shift = 16
+    while len(symbols) and int(symbols.max()) >> shift:
+        order = order[np.argsort((symbols[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+        shift += 16
+    return order
+
 
 def suffix_array(symbols: Sequence[int]) -> list[int]:
     """The start positions of the suffixes of ``symbols`` (integers over 0) in ascending order.
@@ -17,7 +29,7 @@ def suffix_array(symbols: Sequence[int]) -> list[int]:
     """
     text = [*symbols, 0]
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
+    order = by_symbol(np.array(text, np.int64)).tolist()
     place, group, size = [0] * n, [0] * n, [0] * n
     start = 0
     for at, i in enumerate(order):
