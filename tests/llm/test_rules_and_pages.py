@@ -5,6 +5,7 @@ from graphloom.llm.html_extract import extract, main_text
 from graphloom.llm.quality_rules import ORACLE_SQL, clean, quality_rules
 
 PROSE = "\n".join(" ".join(f"word{i * j}x{i}" for j in range(9)) + ", and so." for i in range(1, 13))
+MORE = PROSE.replace("word", "term")
 
 
 def test_rules_match_sql(spark, documents, tmp_path):
@@ -23,6 +24,10 @@ def test_rules_match_sql(spark, documents, tmp_path):
         (None, PROSE),
         (11, "w" * 100_000),
         (12, "a  b\n\na  b\nc"),
+        (13, PROSE + "\nStart\nAbout our house\nWhat we do here today\n\nContact and map\n" + MORE),
+        (14, PROSE + "\nOne short line\nand another one\nEnds here.\nthen a third line\n" + MORE),
+        (15, "Home » News » Sport\nInicio · Mapa · Ayuda\nTous droits réservés.\nWeiterlesen.\n" + PROSE),
+        (16, " ".join(f"long{i}" for i in range(60)) + " with all rights reserved in the middle of it " + " ".join(f"end{i}" for i in range(60)) + "."),
     ]
     df = documents(rows)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -33,12 +38,14 @@ def test_rules_match_sql(spark, documents, tmp_path):
     want = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL})").fetchall(), key=str)
     assert got == want
     kept = {x[0] for x in got if x[-1]}
-    assert {1, 2} <= kept and not kept & {3, 4, 5, 6, 7, 8, 10}
+    assert {1, 2, 13, 14, 15, 16} <= kept and not kept & {3, 4, 5, 6, 7, 8, 10}
 
 
 def test_lines_go():
     assert clean(PROSE + "\nAll rights reserved.")[-1] == PROSE
     assert clean(None)[0] == 0
+    assert clean(PROSE + "\nStart\nAbout our house\nWhat we do here today\n\nContact and map\n" + MORE)[-1] == PROSE + "\n\n" + MORE
+    assert clean("Home » News » Sport\nTous droits réservés.\n" + PROSE)[-1] == PROSE
 
 
 def test_empty_rules(spark, documents):
