@@ -88,6 +88,11 @@ def delete_paths(nodes: DataFrame, rels: DataFrame, paths: DataFrame, detach: bo
     return delete_nodes(nodes, left, gone, detach)
 
 
+def delete_elements(nodes: DataFrame, rels: DataFrame, ids: DataFrame, rids: DataFrame, detach: bool = False) -> tuple[DataFrame, DataFrame]:
+    """DELETE of whatever an expression gives: the nodes (id) and relationships (rid) that stay."""
+    return delete_nodes(nodes, delete_relationships(rels, rids), ids, detach)
+
+
 def set_labels(nodes: DataFrame, where: Column, names: list[str]) -> DataFrame:
     """SET n:A:B for nodes that keep their labels in an array ``labels``."""
     return nodes.withColumn("labels", F.when(where, F.array_union("labels", F.array(*(F.lit(x) for x in names)))).otherwise(F.col("labels")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scalar as S, temporal as T
 from ..graph import Match, conditional_apply, relationships_by_ids, relationships_in_range, tpch_graph
-from ..operators import aggregations as A, paths, writes
+from ..operators import aggregations as A, paths, search_runs as runs, writes
 from ..sources import procedures, tables as src
 from ..tables import shared_folder
 from .catalog import TRADE, TREE, _sources, match, nation_trade, query, table, tree
@@ -441,3 +441,52 @@ def db_property_keys(spark, d):
 @query(f"WITH {TREE} SELECT count(*) AS n FROM tree")
 def tree_size(spark, d):
     return tree(spark, d).agg(F.count("*").alias("n"))
+
+
+# ---- search runs
+
+
+@query("SELECT p_partkey AS id, p_size AS size, (SELECT count(*) FROM part WHERE p_size >= 30 AND p_brand IN ('Brand#12', 'Brand#13')) AS total_hits FROM part WHERE p_size >= 30 AND p_brand IN ('Brand#12', 'Brand#13') ORDER BY p_size DESC, id LIMIT 20 OFFSET 2")
+def vertex_search(spark, d):
+    options = {"conceptType": "Part", "filter": [{"propertyId": "p_size", "predicate": ">=", "values": [30]}, {"propertyId": "p_brand", "predicate": "in", "values": ["Brand#12", "Brand#13"]}], "sort": ["p_size:DESCENDING"], "offset": 2, "size": 20}
+    return runs.vertex_search(tpch_graph(spark, d), options).select("id", F.col("p_size").alias("size"), "total_hits")
+
+
+@query("SELECT l_orderkey AS \"order\", l_partkey AS part, (SELECT count(*) FROM lineitem WHERE l_quantity = 50 AND l_returnflag <> 'N') AS total_hits FROM lineitem WHERE l_quantity = 50 AND l_returnflag <> 'N'")
+def edge_search(spark, d):
+    options = {"edgeLabel": "CONTAINS", "filter": [{"propertyId": "quantity", "predicate": "=", "values": [50]}, {"propertyId": "returnflag", "predicate": "!=", "values": ["N"]}], "size": -1}
+    return runs.edge_search(tpch_graph(spark, d), options).select(F.col("src").alias("order"), F.col("dst").alias("part"), "total_hits")
+
+
+@query("SELECT 'vertex' AS kind, 'Supplier' AS type, s_suppkey::VARCHAR AS id, (SELECT count(*) FROM supplier WHERE s_acctbal BETWEEN 0 AND 5000) AS total_hits FROM supplier WHERE s_acctbal BETWEEN 0 AND 5000")
+def element_search(spark, d):
+    options = {"filter": [{"propertyId": "s_acctbal", "predicate": "range", "values": [0, 5000]}], "size": -1}
+    return runs.element_search(tpch_graph(spark, d), options)
+
+
+@query("SELECT l_orderkey AS element_id, l_linenumber AS row_id, l_quantity AS quantity, (SELECT count(*) FROM lineitem WHERE l_quantity > 49) AS total_hits FROM lineitem WHERE l_quantity > 49")
+def extended_data_search(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("element_id"), F.col("l_linenumber").alias("row_id"), F.col("l_quantity").alias("quantity"))
+    return runs.extended_data_search(rows, {"filter": [{"propertyId": "quantity", "predicate": ">", "values": [49]}], "size": -1})
+
+
+@query(r"SELECT doc_id AS id FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), 'apache') AND (list_contains(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), 'license'))")
+def query_string_over_texts(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs.filter(runs.any_text(docs, "Apache license")).select(F.col("doc_id").alias("id"))
+
+
+@query("SELECT 'brands' AS name, p_brand AS key, count(*) AS n, NULL::DOUBLE AS value FROM part WHERE p_size < 20 GROUP BY 2 UNION ALL SELECT 'smallest', NULL, NULL, min(p_size) FROM part WHERE p_size < 20")
+def aggregations_of_a_search(spark, d):
+    options = {"filter": [{"propertyId": "p_size", "predicate": "<", "values": [20]}], "aggregations": [{"type": "term", "name": "brands", "field": "p_brand"}, {"type": "min", "name": "smallest", "field": "p_size"}]}
+    return runs.aggregations(table(spark, d, "part"), options)
+
+
+@query("SELECT (SELECT count(*) FROM customer WHERE c_custkey >= 10) AS nodes, (SELECT count(*) FROM orders WHERE o_custkey >= 10 AND o_orderkey >= 50) AS rels")
+def delete_elements(spark, d):
+    g = tpch_graph(spark, d)
+    rels = g.rel("PLACED").select("rid", F.concat(F.lit("c"), "src").alias("src"), F.concat(F.lit("o"), "dst").alias("dst"))
+    nodes = g.node("Customer").select(F.concat(F.lit("c"), "id").alias("id"))
+    gone = g.node("Customer").filter("id < 10").select(F.concat(F.lit("c"), "id").alias("id"))
+    left, kept = writes.delete_elements(nodes, rels, gone, g.rel("PLACED").filter("dst < 50"), detach=True)
+    return left.agg(F.count("*").alias("nodes")).crossJoin(kept.agg(F.count("*").alias("rels")))  # one row each
