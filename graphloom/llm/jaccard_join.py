@@ -381,7 +381,7 @@ def _leaders(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """Links among the candidate ``pairs`` (a, ca, b, cb): a probes tries of its b, about TRIE_SETS in each."""
     spread = pairs.groupBy("a").agg(F.count("*").alias("_deg"))
     chunk = F.expr(f"pmod(xxhash64(b), cast(ceil(_deg / {TRIE_SETS}) as int))").cast("int").alias("chunk")
-    dealt = pairs.join(spread, "a").select("a", "ca", "b", "cb", chunk, F.lit(0).alias("slot"))
+    dealt = salted_join(pairs, spread, ["a"], "b").select("a", "ca", "b", "cb", chunk, F.lit(0).alias("slot"))
     members = dealt.select(F.col("a").alias("group"), "chunk", "slot", F.col("b").alias("sig"), F.col("cb").alias("comp"))
     probes = dealt.select(F.col("a").alias("group"), "chunk", "slot", F.col("a").alias("sig"), F.col("ca").alias("comp")).distinct()
     return _links(members, probes, sets, num, den)
