@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 
 def create(elements: DataFrame, new: DataFrame) -> DataFrame:
@@ -131,3 +132,22 @@ def change_events(before: DataFrame, after: DataFrame, key: str = "id") -> DataF
         event = F.when(o.eqNullSafe(n) | F.col("_a").isNull(), empty).when(o.isNull(), "property set").when(n.isNull(), "property removed").otherwise("property changed")
         parts.append(F.struct(event.alias("event"), F.lit(c).alias("property"), o.alias("old"), n.alias("new")))
     return both.select(key, F.explode(F.array(*parts)).alias("e")).select(key, "e.*").filter("event is not null")
+
+
+def history(changes: DataFrame, key: str, low=None, high=None, ts: str = "ts") -> DataFrame:
+    """The writes of each key in a time range with ``until``, the time of the next write (null for the last one)."""
+    order = Window.partitionBy(key).orderBy(ts, *sorted(c for c in changes.columns if c not in (key, ts)))
+    found = changes.withColumn("until", F.lead(ts).over(order))
+    found = found if low is None else found.filter(F.col(ts) >= F.lit(low))
+    return found if high is None else found.filter(F.col(ts) <= F.lit(high))
+
+
+def shown(elements: DataFrame, marks: DataFrame, key: str = "id", ts: str = "ts") -> DataFrame:
+    """The elements that are not hidden: ``marks`` (key, ts, hidden) are hides and unhides, of which the last counts."""
+    last = marks.groupBy(key).agg(F.max_by("hidden", F.struct(ts, "hidden")).alias("_h")).filter("_h").select(key)
+    return elements.join(last, key, "left_anti")
+
+
+def fetched(elements: DataFrame, properties: list[str], key: str = "id") -> DataFrame:
+    """Fetch hints: only these properties, so that scans read no others."""
+    return elements.select(key, *(c for c in properties if c in elements.columns))

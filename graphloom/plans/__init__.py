@@ -1,3 +1,3 @@
 """Registered queries; importing the package fills ``catalog.QUERIES`` and ``catalog.SQL``."""
 
-from . import catalog, elements  # noqa: F401
+from . import catalog, elements, steps  # noqa: F401

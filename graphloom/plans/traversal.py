@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,6 +24,11 @@ P = {
     "without": lambda c, *a: ~c.isin(*a),
     "textcontains": lambda c, a: c.contains(a),
     "contains": lambda c, a: F.array_contains(c, a),
+    "prefix": lambda c, a: c.startswith(a),
+    "regex": lambda c, a: F.rlike(c, F.lit(f"^(?:{a})$")),
+    "textcontainsany": lambda c, *a: F.coalesce(reduce(lambda x, y: x | y, [c.contains(w) for w in a]), F.lit(False)),
+    "containskey": lambda c, a: F.map_contains_key(c, a),
+    "containsvalue": lambda c, a: F.array_contains(F.map_values(c), a),
 }
 
 
@@ -89,3 +95,30 @@ class Traversal:
         """The first ``limit`` nodes by a property, ties by id."""
         rows = self.at.join(self.graph.node(self.label), "id")
         return rows.orderBy(F.desc_nulls_last(key) if descending else F.asc_nulls_last(key), "id").limit(limit).select("id", key, "n")
+
+    def group(self, key: str, value: str) -> DataFrame:
+        """(key, values): the sorted property values of the traversers by another property, one for each traverser."""
+        rows = self.values(key, value).withColumn("_v", F.explode(F.array_repeat(value, F.col("n").cast("int"))))
+        return rows.groupBy(key).agg(F.sort_array(F.collect_list("_v")).alias("values"))
+
+    def project(self, **columns: str) -> DataFrame:
+        """Named expressions over the properties of the nodes, with the traversers on them."""
+        rows = self.at.join(self.graph.node(self.label), "id")
+        return rows.select(*(F.expr(e).alias(k) for k, e in columns.items()), "n")
+
+    def both(self, kind: str, label: str) -> Traversal:
+        """Along a type in either direction, between nodes of this label and ``label``."""
+        ways = [getattr(self, step)(kind, label) for step, ends in (("out", (self.label, label)), ("in_", (label, self.label))) if self.graph.has_rel(kind, *ends)]
+        at = reduce(DataFrame.unionByName, [w.at for w in ways]).groupBy("id").agg(F.sum("n").alias("n"))
+        return replace(self, label=label, at=at)
+
+    def path(self, *steps: tuple[str, str, str]) -> DataFrame:
+        """(path): the ids met on the way of steps (direction, type, label), one row for each way of each traverser."""
+        rows = self.at.select("id", F.array("id").alias("path"), "n")
+        near = self.label
+        for direction, kind, label in steps:
+            source, target, a, b = (near, label, "src", "dst") if direction == "out" else (label, near, "dst", "src")
+            rels = self.graph.rel(kind, source, target).select(F.col(a).alias("id"), F.col(b).alias("_f"))
+            rows = rows.join(rels, "id").select(F.col("_f").alias("id"), F.array_append("path", F.col("_f")).alias("path"), "n")
+            near = label
+        return rows.select("path", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("path")
