@@ -430,6 +430,25 @@ def _postings(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return _links(members, probes, sets, num, den, by_shingle=True)
 
 
+def _open_links(still: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All links between the components that share a prefix shingle: ``still`` has (token, sig, n, comp, lo), where lo is
+    the least component at the shingle."""
+    # such components are in one cluster: along one edge of each first, then what that left apart; a component that is the
+    # least of all its shingles has an edge to itself, so that the second step meets it
+    first = components(still.groupBy(F.col("comp").alias("a")).agg(F.min("lo").alias("b"))).select(F.col("node").alias("comp"), F.col("component").alias("near"))
+    apart = still.select("comp", "lo").distinct().join(first, "comp").join(first.select(F.col("comp").alias("lo"), F.col("near").alias("other")), "lo").filter("near <> other").select("near", "other").distinct()
+    joined = components(apart, "near", "other").select(F.col("node").alias("near"), F.col("component").alias("cluster"))
+    clusters = materialise(first.join(joined, "near", "left").select("comp", F.coalesce("cluster", "near").alias("cluster")))
+    open_ = materialise(salted_join(still.select("sig", "comp").distinct(), clusters, ["comp"], "sig").select("cluster", "sig", "comp"))
+    large = materialise(open_.groupBy("cluster").count().filter(F.col("count") > CLUSTER).select("cluster", F.lit(True).alias("large")))
+    if large.isEmpty():
+        return _clusters(open_, sets, num, den)
+    sized = materialise(salted_join(open_, large, ["cluster"], "sig", "left"))
+    near, far = sized.filter("large is null").drop("large"), sized.filter("large").select("sig")
+    held = still.select("token", "sig", "n", "comp").join(far, "sig", "left_semi")
+    return _clusters(near, sets, num, den).unionByName(_postings(held, sets, num, den))
+
+
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 3, den: int = 4, rounds: int = 2) -> DataFrame:
     """(key, n_shingles, component_id) for each row of ``docs``.
 
@@ -452,35 +471,23 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     # the part of the prefix that the unique shingles leave
     reach = F.expr(f"cast(n - ceil(n * {num} / {den}) + 1 - (n - size(tokens)) as int)")
     prefix = materialise(sets.select("sig", "n", F.explode(F.slice("tokens", F.lit(1), reach)).alias("token")))
-    links = None
+    labels = None
     for turn in range(rounds):
-        held = prefix.join(_labels(sets, links), "sig") if turn else prefix.withColumn("comp", F.col("sig"))
+        held = prefix.join(labels, "sig") if turn else prefix.withColumn("comp", F.col("sig"))
         rank = F.struct(F.xxhash64("sig", F.lit(turn)), F.col("sig"), F.col("n"), F.col("comp"))
         leader = held.groupBy("token").agg(F.min(rank).alias("lead"), (F.min("comp") < F.max("comp")).alias("open")).filter("open").select("token", F.col("lead.sig").alias("a"), F.col("lead.n").alias("na"), F.col("lead.comp").alias("ca"))
         near = salted_join(held, leader, ["token"], "sig", salts=4).filter(f"ca <> comp and {den} * least(n, na) >= {num} * greatest(n, na)")
         # a set goes to the leader with which it shares most
         shared = near.groupBy("sig", "a").agg(F.count("*").alias("k"), F.first("comp").alias("cb"), F.first("ca").alias("ca"))
         pairs = shared.groupBy("sig").agg(F.max(F.struct("k", "a", "ca", "cb")).alias("p")).select("p.a", "p.ca", F.col("sig").alias("b"), "p.cb")
-        new = _leaders(pairs, sets, num, den)
-        links = materialise(new if links is None else links.unionByName(new))
-    held = prefix.join(_labels(sets, links), "sig")
+        labels = _labels(sets, labels, _leaders(pairs, sets, num, den))
+    held = prefix.join(labels, "sig")
     mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", "lo")
     still = materialise(salted_join(held, mixed, ["token"], "sig", salts=4).select("token", "sig", "n", "comp", "lo"))
-    # components that share a prefix shingle are in one cluster: along one edge of each first, then what that left apart;
-    # a component that is the least of all its shingles has an edge to itself, so that the second step meets it
-    first = components(still.groupBy(F.col("comp").alias("a")).agg(F.min("lo").alias("b"))).select(F.col("node").alias("comp"), F.col("component").alias("near"))
-    apart = still.select("comp", "lo").distinct().join(first, "comp").join(first.select(F.col("comp").alias("lo"), F.col("near").alias("other")), "lo").filter("near <> other").select("near", "other").distinct()
-    joined = components(apart, "near", "other").select(F.col("node").alias("near"), F.col("component").alias("cluster"))
-    clusters = materialise(first.join(joined, "near", "left").select("comp", F.coalesce("cluster", "near").alias("cluster")))
-    open_ = materialise(salted_join(still.select("sig", "comp").distinct(), clusters, ["comp"], "sig").select("cluster", "sig", "comp"))
-    large = open_.groupBy("cluster").count().filter(F.col("count") > CLUSTER).select("cluster", F.lit(True).alias("large"))
-    sized = materialise(salted_join(open_, large, ["cluster"], "sig", "left"))
-    near, far = sized.filter("large is null"), sized.filter("large")
-    links = links.unionByName(_clusters(near.select("cluster", "sig", "comp"), sets, num, den))
-    links = links.unionByName(_postings(still.select("token", "sig", "n", "comp").join(far.select("sig"), "sig", "left_semi"), sets, num, den))
-    links = materialise(links)
+    if not still.isEmpty():
+        labels = _labels(sets, labels, _open_links(still, sets, num, den))
     smallest = rows.filter("n > 0").groupBy("sig").agg(F.min(F.array_min("docs")).alias("doc"))
-    named = smallest.join(_labels(sets, links), "sig", "left").select("sig", "doc", F.coalesce("comp", "sig").alias("comp"))
+    named = smallest.join(labels, "sig", "left").select("sig", "doc", F.coalesce("comp", "sig").alias("comp"))
     name = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
     by_set = salted_join(named, name, ["comp"], "sig").select("sig", "component_id")
     # rows hold the documents of a set in one group of texts, so a set with many copies is no hot key
@@ -488,9 +495,13 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
 
 
-def _labels(sets: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return materialise(sets.select("sig").join(found, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("component", "sig").alias("comp")))
+def _labels(sets: DataFrame, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(sig, comp) of all sets when ``links`` (a, b) are added to the components of ``labels``; without, to single sets."""
+    labels = sets.select("sig", F.col("sig").alias("comp")) if labels is None else labels
+    of = lambda end: labels.select(F.col("sig").alias(end), F.col("comp").alias(f"c_{end}"))
+    between = materialise(links.join(of("a"), "a").join(of("b"), "b").filter("c_a <> c_b").select("c_a", "c_b").distinct())
+    joined = components(between, "c_a", "c_b").withColumnRenamed("node", "comp")
+    return materialise(salted_join(labels, joined, ["comp"], "sig", "left").select("sig", F.coalesce("component", "comp").alias("comp")))
 
 
 ORACLE_SQL = r"""
