@@ -36,13 +36,13 @@ from .shingles import shingle_sets, signature
 #: Sets that one trie holds, and sets of a cluster that is compared as a whole.
 TRIE_SETS, CLUSTER = 512, 8192
 #: Bytes of text for a bucket of shingles and for a group of texts whose shingles travel together.
-BUCKET_BYTES, TEXT_BYTES = 64 << 20, 8 << 20
+BUCKET_BYTES, TEXT_BYTES = 64 << 20, 4 << 20
 #: Sets of a group of texts, and sets of a bucket's list, from which a shingle is hot.
-LOCAL, LISTED = 128, 1 << 14
+LOCAL, LISTED = 64, 1 << 14
 #: The frequency that stands for all hot shingles.
 HOT = (1 << 31) - 1
 #: Shingles that a bucket takes in before it looks for hot ones.
-TAKEN = 2 << 20
+TAKEN = 1 << 20
 _PACKED = "bucket int, kind int, ids binary, sizes binary, owner binary, tokens binary, extra binary"
 _SETS = "kind int, sig long, n long, freq array<int>, tokens array<long>, docs array<long>"
 
@@ -108,7 +108,7 @@ def _shingled(key: str, text: str, size: int, buckets: int):
                     value, count = np.unique(tokens, return_counts=True)
                     hot = value[count >= LOCAL]
                     if len(hot):
-                        is_hot = np.isin(tokens, hot)
+                        is_hot = _among(tokens, hot)
                         yield from _packed(2, ids, sizes, owner[is_hot], tokens[is_hot], np.full(int(is_hot.sum()), HOT, np.uint32), _bucket(ids.view(U), buckets)[owner[is_hot]], buckets)
                         yield from _packed(3, ids[:1], sizes[:1], np.zeros(len(hot), np.int64), hot, None, _bucket(hot, buckets), buckets)
                         tokens, owner = tokens[~is_hot], owner[~is_hot]
@@ -125,6 +125,13 @@ def _read(row) -> tuple:
     return ids, sizes, owner, np.frombuffer(row[5], U)
 
 
+def _among(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted ``chosen``."""
+    if not len(chosen):
+        return np.zeros(len(values), bool)
+    return chosen[np.minimum(np.searchsorted(chosen, values), len(chosen) - 1)] == values
+
+
 class Holders:
     """The sets that hold each shingle of a bucket, as they come in; shingles with too many are let go as hot."""
 
@@ -146,7 +153,8 @@ class Holders:
             t = tokens[order]
             keep = np.zeros(len(t) + 1, bool)
             keep[1:-1] = t[1:] == t[:-1]
-            order = order[keep[1:] | keep[:-1] | np.isin(t, self.hot)]
+            order = order[keep[1:] | keep[:-1] | _among(t, self.hot)]
+            del t
             tokens, sigs, ns = tokens[order], sigs[order], ns[order]
         order = np.lexsort((sigs, tokens))
         tokens, sigs, ns = tokens[order], sigs[order], ns[order]
@@ -162,7 +170,7 @@ class Holders:
         first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
         freq = np.diff(np.r_[first, len(tokens)])
         self.hot = np.union1d(self.hot, tokens[first[freq > LISTED]])
-        freq = np.where(np.isin(tokens[first], self.hot), HOT, freq)
+        freq = np.where(_among(tokens[first], self.hot), HOT, freq)
         freq = np.repeat(freq, np.diff(np.r_[first, len(tokens)]))
         go = freq > 1 if last else freq == HOT
         if not last:
@@ -462,8 +470,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     size_of_all = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-int(size_of_all) // BUCKET_BYTES))
     packed = texts.mapInArrow(_shingled("doc_id", "text", size, buckets), _PACKED)
-    # marks of hot shingles come before the lists
-    by_bucket = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.desc("kind"))
+    by_bucket = lambda df: df.repartitionById(buckets, "bucket")
     counted = by_bucket(packed).mapInArrow(_counted(buckets), _PACKED)
     found = materialise(by_bucket(counted).mapInArrow(_ordered(num, den), _SETS))
     rows = found.filter("kind = 1").select("sig", "n", "docs")

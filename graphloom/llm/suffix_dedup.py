@@ -38,7 +38,7 @@ CHUNK = 8192
 #: Segments whose suffixes are sorted together.
 BATCH = 4096
 #: Bytes of text whose segments are sent on together, and bytes of text for a bucket of them.
-TEXT_BYTES, BUCKET_BYTES = 16 << 20, 128 << 20
+TEXT_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in ("gram", "whole", "other", "key", "start", "small"))])
 _FOUND = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("gram", pa.int64()), ("chunk", pa.int32()), ("split", pa.bool_()), ("at", pa.int32()), ("weight", pa.int32())])
 _SEGMENTS = pa.schema([("gram", pa.int64()), ("chunk", pa.int32()), ("split", pa.bool_()), ("key", pa.int64()), ("start", pa.int64()), ("at", pa.int32()), ("weight", pa.int32()), ("data", pa.binary())])
@@ -340,7 +340,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(partitions(spark), -(-int(size) // BUCKET_BYTES))
     packed = texts.select("key", "text").mapInArrow(_anchored(length, buckets), _ddl(_PACKED))
-    found = materialise(packed.repartition(buckets, "bucket").mapInArrow(_matched(length, chunk), _ddl(_FOUND)))
+    found = materialise(packed.repartitionById(buckets, "bucket").mapInArrow(_matched(length, chunk), _ddl(_FOUND)))
     wanted = found.filter("kind = 2").groupBy("key").agg(F.collect_list(F.struct("gram", "chunk", "split", "start", "end", "at", "weight")).alias("segs"))
     segments = texts.join(wanted, "key").select("key", "text", "segs").mapInArrow(_fetched(length), _ddl(_SEGMENTS))
     sorted_ = materialise(segments.repartition(buckets, "gram", "chunk").sortWithinPartitions("gram", "chunk").mapInArrow(_sorted(length), _ddl(_SORTED)))
