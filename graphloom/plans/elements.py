@@ -31,11 +31,11 @@ def scan_relationship_range(spark, d):
     return relationships_in_range(tpch_graph(spark, d).rel("PLACED"), 100, 180).select(F.col("rid").alias("id"))
 
 
-@query("SELECT l_orderkey AS id, l_linenumber AS line FROM lineitem WHERE l_shipdate <= TIMESTAMP '1993-01-01'")
+@query("SELECT l_orderkey AS id, l_linenumber AS line FROM lineitem WHERE l_shipdate <= (SELECT min(l_shipdate) + INTERVAL 30 DAY FROM lineitem)")
 def scan_relationships_until(spark, d):
-    until = F.lit("1993-01-01").cast("timestamp_ntz")
-    items = tpch_graph(spark, d).rel("CONTAINS").filter(F.col("shipdate") <= until)
-    return relationships_in_range(items, None, 10**12, by="src").select(F.col("src").alias("id"), F.col("linenumber").alias("line"))
+    items = tpch_graph(spark, d).rel("CONTAINS")
+    until = items.agg(F.expr("min(shipdate) + interval 30 days").alias("t")).first().t  # what a user would give
+    return relationships_in_range(items, None, until, by="shipdate").select(F.col("src").alias("id"), F.col("linenumber").alias("line"))
 
 
 @query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_name IS NOT NULL")
@@ -324,7 +324,7 @@ def point_components(spark, d):
 def geohash_round_trip(spark, d):
     k = F.col("c_custkey")
     p = geo.point(k % 160 - 80, k * 7 % 340 - 170)
-    return table(spark, d, "customer").select(k.alias("id"), (geo.distance(p, geo.geohash_centre(geo.geohash(p, 8))) < 0.1).alias("near"))
+    return table(spark, d, "customer").select(k.alias("id"), (geo.distance(p, geo.geohash_centre(geo.geohash(p, 5))) < 4).alias("near"))
 
 
 @query("SELECT r_regionkey AS id, CAST(r_regionkey * 3 + 1 AS BIGINT) AS v FROM region")
