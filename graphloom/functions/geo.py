@@ -79,10 +79,15 @@ COMPONENTS = {
 }
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def geohash_centre(cell: Column) -> Column:
     """The middle of a geohash cell as a point."""
-    bits = F.concat_ws("", F.transform(F.split(cell, ""), lambda d: F.when(d != "", F.lpad(F.bin(F.instr(F.lit(DIGITS), d).cast("long") - 1), 5, "0"))))
-    every = lambda start: F.concat_ws("", F.transform(F.sequence(F.lit(start), F.length(bits), F.lit(2)), lambda i: F.substr(bits, i, F.lit(1))))
-    lon, lat = every(1), every(2)
-    middle = lambda b, low, width: low + width * (F.conv(b, 2, 10).cast("double") + 0.5) / F.pow(F.lit(2.0), F.length(b))
-    return point(middle(lat, -90.0, 180.0), middle(lon, -180.0, 360.0))
+    digits = F.filter(F.split(cell, ""), lambda d: d != "")
+    bits = F.concat_ws("", F.transform(digits, lambda d: F.lpad(F.bin(F.instr(F.lit(DIGITS), d).cast("long") - 1), 5, "0")))
+    every = lambda b, start: F.concat_ws("", F.transform(F.sequence(F.lit(start), F.length(b), F.lit(2)), lambda i: F.substr(b, i, F.lit(1))))
+    middle = lambda low, width: lambda b: low + width * (F.conv(b, 2, 10).cast("double") + 0.5) / F.pow(F.lit(2.0), F.length(b))
+    return _let(bits, lambda b: point(_let(every(b, 2), middle(-90.0, 180.0)), _let(every(b, 1), middle(-180.0, 360.0))))

@@ -324,7 +324,9 @@ def point_components(spark, d):
 def geohash_round_trip(spark, d):
     k = F.col("c_custkey")
     p = geo.point(k % 160 - 80, k * 7 % 340 - 170)
-    return table(spark, d, "customer").select(k.alias("id"), (geo.distance(p, geo.geohash_centre(geo.geohash(p, 5))) < 4).alias("near"))
+    cells = table(spark, d, "customer").select(k.alias("id"), p.alias("p"), geo.geohash(p, 5).alias("cell"))
+    centres = cells.select("id", "p", geo.geohash_centre(F.col("cell")).alias("c"))
+    return centres.select("id", (geo.distance(F.col("p"), F.col("c")) < 4).alias("near"))
 
 
 @query("SELECT r_regionkey AS id, CAST(r_regionkey * 3 + 1 AS BIGINT) AS v FROM region")
