@@ -1,15 +1,15 @@
-"""Shared helpers: text slices, rolling fingerprints, checkpoints and gapless numbering."""
+"""Shared helpers: text slices, rolling fingerprints, written tables and gapless numbering."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from ..tables import materialise, shared_folder
+
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASES = (BASE, 0xD6E8FEB86659FD93)
@@ -100,27 +100,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
-    return context.getCheckpointDir()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as a table in the folder that all executors share and reads it back.
-
-    Unlike a checkpoint the last stage runs once, the table is compressed, and its size is known to the joins that
-    follow. The tables of a result are needed until it is written; then their folder can be removed.
-    """
-    path = shared_folder(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Removes the table of a materialised ``df`` that nothing reads any more."""
     spark = df.sparkSession
@@ -129,11 +108,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
     """Adds ``out``: 0, 1, 2, ... within each value of ``by``, without moving the rows.
 
