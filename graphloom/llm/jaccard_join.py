@@ -387,7 +387,8 @@ def _links(members: DataFrame, probes: DataFrame, sets: DataFrame, num: int, den
 
 def _leaders(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links among the candidate ``pairs`` (a, ca, b, cb): a probes tries of its b, about TRIE_SETS in each."""
-    spread = pairs.groupBy("a").agg(F.count("*").alias("_deg"))
+    pairs = materialise(pairs)
+    spread = materialise(pairs.groupBy("a").agg(F.count("*").alias("_deg")))
     chunk = F.expr(f"pmod(xxhash64(b), cast(ceil(_deg / {TRIE_SETS}) as int))").cast("int").alias("chunk")
     dealt = salted_join(pairs, spread, ["a"], "b").select("a", "ca", "b", "cb", chunk, F.lit(0).alias("slot"))
     members = dealt.select(F.col("a").alias("group"), "chunk", "slot", F.col("b").alias("sig"), F.col("cb").alias("comp"))
@@ -424,11 +425,12 @@ def _postings(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     those outside the shingle's largest component probe their own band and the ones beside it.
     """
     banded = held.withColumn("band", F.expr(f"cast(floor(ln(n) / (1.000001D * ln({den} / {num}))) as int)"))
-    banded = salted_join(banded, _whole(held, ["token"]).select("token", "main"), ["token"], "sig")
+    banded = materialise(salted_join(banded, materialise(_whole(held, ["token"]).select("token", "main")), ["token"], "sig"))
     # how many tries a band has, and how many slots the probes of a band come in
     counts = banded.groupBy("token", "band").agg(F.count("*").alias("m"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("p"))
     near = counts.select("token", "p", F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band")).groupBy("token", "band").agg(F.sum("p").alias("p"))
     plan = counts.drop("p").join(near, ["token", "band"]).filter("p > 0").select("token", "band", F.expr(f"cast(ceil(m / {TRIE_SETS}) as int)").alias("chunks"), F.expr(f"cast(ceil(p / {TRIE_SETS}) as int)").alias("slots"))
+    plan = materialise(plan)
     own = F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int")
     inner = F.expr("band * 1000000 + chunk")
     members = salted_join(banded, plan, ["token", "band"], "sig").withColumn("chunk", own).select(F.col("token").alias("group"), inner.alias("chunk"), F.explode(F.expr("sequence(0, slots - 1)")).alias("slot"), "sig", "comp")
@@ -483,20 +485,21 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         held = prefix.join(labels, "sig") if turn else prefix.withColumn("comp", F.col("sig"))
         rank = F.struct(F.xxhash64("sig", F.lit(turn)), F.col("sig"), F.col("n"), F.col("comp"))
         leader = held.groupBy("token").agg(F.min(rank).alias("lead"), (F.min("comp") < F.max("comp")).alias("open")).filter("open").select("token", F.col("lead.sig").alias("a"), F.col("lead.n").alias("na"), F.col("lead.comp").alias("ca"))
-        near = salted_join(held, leader, ["token"], "sig", salts=4).filter(f"ca <> comp and {den} * least(n, na) >= {num} * greatest(n, na)")
+        near = salted_join(held, materialise(leader), ["token"], "sig").filter(f"ca <> comp and {den} * least(n, na) >= {num} * greatest(n, na)")
         # a set goes to the leader with which it shares most
         shared = near.groupBy("sig", "a").agg(F.count("*").alias("k"), F.first("comp").alias("cb"), F.first("ca").alias("ca"))
         pairs = shared.groupBy("sig").agg(F.max(F.struct("k", "a", "ca", "cb")).alias("p")).select("p.a", "p.ca", F.col("sig").alias("b"), "p.cb")
         labels = _labels(sets, labels, _leaders(pairs, sets, num, den))
     held = prefix.join(labels, "sig")
     mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", "lo")
-    still = materialise(salted_join(held, mixed, ["token"], "sig", salts=4).select("token", "sig", "n", "comp", "lo"))
+    still = materialise(salted_join(held, materialise(mixed), ["token"], "sig").select("token", "sig", "n", "comp", "lo"))
     if not still.isEmpty():
         labels = _labels(sets, labels, _open_links(still, sets, num, den))
     smallest = rows.filter("n > 0").groupBy("sig").agg(F.min(F.array_min("docs")).alias("doc"))
     named = smallest.join(labels, "sig", "left").select("sig", "doc", F.coalesce("comp", "sig").alias("comp"))
+    named = materialise(named)
     name = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    by_set = salted_join(named, name, ["comp"], "sig").select("sig", "component_id")
+    by_set = salted_join(named, materialise(name), ["comp"], "sig").select("sig", "component_id")
     # rows hold the documents of a set in one group of texts, so a set with many copies is no hot key
     out = rows.join(by_set, "sig", "left").select("n", "component_id", F.explode("docs").alias("doc"))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))

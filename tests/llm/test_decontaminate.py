@@ -40,7 +40,7 @@ def test_index_finds_what_full_alignment_finds(seed):
     rng = random.Random(seed)
     items = [(i, phrase(rng, rng.randrange(6, 110)).encode()) for i in range(30)]
     index, positive = D.Index(items, 16), 0
-    for trial in range(120):
+    for trial in range(40):
         item = D.normalised(np.frombuffer(rng.choice(items)[1], np.uint8))[0].tobytes()
         text = spoiled(rng, item, rng.randrange(0, max(2, len(item) // 12)))
         text = phrase(rng, 25).encode() * (trial % 3 > 0) + text + phrase(rng, 25).encode() * (trial % 2)
@@ -48,7 +48,7 @@ def test_index_finds_what_full_alignment_finds(seed):
         want = {j for j in range(len(index.item)) if least_edits(index.bytes[j, : index.length[j]].tobytes(), data.tobytes()) <= index.edits[j]}
         assert set(index.matches(data)[0].tolist()) == want
         positive += len(want)
-    assert positive > 50
+    assert positive > 15
 
 
 def tables(spark, documents):

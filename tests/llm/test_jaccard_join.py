@@ -81,10 +81,11 @@ def rows_of_one_cluster(seed):
 
 @pytest.mark.parametrize(("seed", "cluster"), [(1, 8192), (2, 0), (3, 0), (4, 10)])
 def test_tries_clusters_and_hot_shingles(spark, documents, monkeypatch, seed, cluster):
-    from graphloom.llm import jaccard_join as J
+    from graphloom.llm import common, jaccard_join as J
 
     for name, value in {"TRIE_SETS": 4, "CLUSTER": cluster, "LOCAL": 6, "LISTED": 7, "TAKEN": 50, "TEXT_BYTES": 3000, "GROUP_BYTES": 1000, "BUCKET_BYTES": 4000}.items():
         monkeypatch.setattr(J, name, value)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 100_000 if seed == 1 else 0)
     rows = rows_of_one_cluster(seed) if seed % 2 else rows_with_families(seed) + [(1000 + d, t) for d, t in rows_of_one_cluster(seed)]
     got = [tuple(x) for x in jaccard_join(documents(rows), rounds=1).collect()]
     assert sorted(got) == brute(rows)
