@@ -121,20 +121,20 @@ def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
 
 
 #: The places that a key of a salted join is dealt to, and the most rows that are broadcast instead.
-SALTS, BROADCAST_ROWS = 16, 100_000
+SALTS, BROADCAST_ROWS = 16, 20_000
 
 
-def salted_join(many: DataFrame, few: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """``many`` joined with ``few``, whose keys are different, without a hot key.
 
     A ``few`` of at most BROADCAST_ROWS rows (counted, so it should be a written table) is broadcast. Of a larger one each
-    row stands in SALTS places, so that a key of very many rows is met by as many tasks; ``by`` names a column of ``many``
+    row stands in ``salts`` places, so that a key of very many rows is met by as many tasks; ``by`` names a column of ``many``
     that differs among the rows of one key.
     """
     if few.count() <= BROADCAST_ROWS:
         return many.join(F.broadcast(few), on, how)
-    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 

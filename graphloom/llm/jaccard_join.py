@@ -485,14 +485,14 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         held = prefix.join(labels, "sig") if turn else prefix.withColumn("comp", F.col("sig"))
         rank = F.struct(F.xxhash64("sig", F.lit(turn)), F.col("sig"), F.col("n"), F.col("comp"))
         leader = held.groupBy("token").agg(F.min(rank).alias("lead"), (F.min("comp") < F.max("comp")).alias("open")).filter("open").select("token", F.col("lead.sig").alias("a"), F.col("lead.n").alias("na"), F.col("lead.comp").alias("ca"))
-        near = salted_join(held, materialise(leader), ["token"], "sig").filter(f"ca <> comp and {den} * least(n, na) >= {num} * greatest(n, na)")
+        near = salted_join(held, materialise(leader), ["token"], "sig", salts=4).filter(f"ca <> comp and {den} * least(n, na) >= {num} * greatest(n, na)")
         # a set goes to the leader with which it shares most
         shared = near.groupBy("sig", "a").agg(F.count("*").alias("k"), F.first("comp").alias("cb"), F.first("ca").alias("ca"))
         pairs = shared.groupBy("sig").agg(F.max(F.struct("k", "a", "ca", "cb")).alias("p")).select("p.a", "p.ca", F.col("sig").alias("b"), "p.cb")
         labels = _labels(sets, labels, _leaders(pairs, sets, num, den))
     held = prefix.join(labels, "sig")
     mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", "lo")
-    still = materialise(salted_join(held, materialise(mixed), ["token"], "sig").select("token", "sig", "n", "comp", "lo"))
+    still = materialise(salted_join(held, materialise(mixed), ["token"], "sig", salts=4).select("token", "sig", "n", "comp", "lo"))
     if not still.isEmpty():
         labels = _labels(sets, labels, _open_links(still, sets, num, den))
     smallest = rows.filter("n > 0").groupBy("sig").agg(F.min(F.array_min("docs")).alias("doc"))
