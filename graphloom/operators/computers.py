@@ -32,28 +32,44 @@ def page_rank(edges: DataFrame, alpha: float = 0.15, rounds: int = 10, precision
     return rank
 
 
-#: The places that a label is dealt to, so that a giant component is no hot key.
-SALTS = 16
+#: The places that a label is dealt to, so that a giant component is no hot key, and the most rows that are broadcast.
+SALTS, BROADCAST_ROWS = 16, 20_000
+
+
+def _looked_up(many: DataFrame, few: DataFrame, on: str, by: str, how: str = "inner", salts: int = 1) -> DataFrame:
+    """``many`` joined with ``few``, a written table with one row for a value of ``on``: broadcast if it has at most
+    BROADCAST_ROWS rows, else merged, in ``salts`` places by ``by``. Rows are counted, since ids and labels shrink so well in
+    files that their size says little of what a broadcast takes in the driver."""
+    if few.count() <= BROADCAST_ROWS:
+        return many.join(F.broadcast(few), on, how)
+    if salts == 1:
+        return many.join(few.hint("merge"), on, how)
+    places = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(places, [on, "_salt"], how).drop("_salt")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that is reachable over undirected edges; labels spread and jump.
 
     Rounds run until no label changes, about the logarithm of the longest way. A vertex of many edges adds up before the
-    shuffle; the look-up of a label's own label is salted, since a component of any size has one label.
+    shuffle; the look-up of a label's own label is salted, since a component of any size has one label. Only labels that
+    some vertex has are looked up.
     """
     ends = F.array(*(F.struct(F.col(a).alias("id"), F.col(b).alias("near")) for a, b in (("src", "dst"), ("dst", "src"), ("src", "src"), ("dst", "dst"))))
     pair = materialise(edges.select(F.explode(ends).alias("e")).select("e.*").distinct())
     label = materialise(pair.groupBy("id").agg(F.min("near").alias("component")))
     while True:
-        spread = pair.join(label.withColumnRenamed("id", "near"), "near").groupBy("id").agg(F.min("component").alias("component"))
+        # a vertex is near itself, which tells the label that it had
+        own = F.min(F.when(F.col("id") == F.col("near"), F.col("component"))).alias("was")
+        spread = materialise(_looked_up(pair, label.withColumnRenamed("id", "near"), "near", "id").groupBy("id").agg(F.min("component").alias("component"), own))
         # only labels that are not their own label lead on
-        jump = label.filter("id <> component").select(F.col("id").alias("component"), F.col("component").alias("far"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        salted = spread.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        new = materialise(salted.join(jump, ["component", "salt"], "left").select("id", F.least("component", "far").alias("component")))
-        if new.join(label, ["id", "component"], "left_anti").isEmpty():
-            return new
-        label = new
+        held = spread.select("component").distinct().hint("merge")
+        jump = materialise(label.filter("id <> component").select(F.col("id").alias("component"), F.col("component").alias("far")).join(held, "component", "left_semi"))
+        joined = _looked_up(spread, jump, "component", "id", "left", SALTS)
+        new = materialise(joined.select("id", F.least("component", "far").alias("component"), "was"))
+        if new.filter("component <> was").isEmpty():
+            return new.select("id", "component")
+        label = new.select("id", "component")
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:

@@ -162,3 +162,16 @@ def test_clauses_and_optional_steps(spark):
     assert m.expand("a", "X", "b", "P").clause().expand("a", "X", "c", "P").frame.count() == 1
     with pytest.raises(Exception, match="different nodes"):
         m.expand("a", "X", "b", "P").same("a", "b").frame.collect()
+
+
+@pytest.mark.parametrize("rows", [-1, 20_000])
+def test_components_broadcast_only_few_rows(spark, monkeypatch, rows):
+    """Labels shrink to almost nothing in a file; only counted rows decide on a broadcast."""
+    plans, write = [], computers.materialise
+    monkeypatch.setattr(computers, "materialise", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    monkeypatch.setattr(computers, "BROADCAST_ROWS", rows, raising=False)
+    star, chain = [("hub", f"leaf{i}") for i in range(300)], [(f"v{i:02d}", f"v{i + 1:02d}") for i in range(30)]
+    e = spark.createDataFrame([*star, *chain, ("z", "z")], "src string, dst string")
+    found = {x.id: x.component for x in computers.connected_components(e).collect()}
+    assert found == {"hub": "hub", "z": "z"} | {b: "hub" for _, b in star} | {v: "v00" for pair in chain for v in pair}
+    assert any("BroadcastHashJoin" in p for p in plans) == (rows > 0)
