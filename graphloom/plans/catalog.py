@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geo, scalar as S, search as Q, temporal as T
 from ..graph import Match, prop, tpch_graph
-from ..operators import aggregations as A, computers, paths, security, similarity, writes
+from ..operators import aggregations as A, computers, joins, paths, security, similarity, writes
 from ..sources import tables as src
 from ..streaming import enrichment
 from .traversal import Traversal
@@ -183,7 +183,9 @@ def cartesian_product(spark, d):
 def value_hash_join(spark, d):
     g = tpch_graph(spark, d)
     mean = g.node("Part").agg(F.avg("p_retailprice").alias("mean"))  # one row
-    return g.node("Part").crossJoin(mean).filter("p_retailprice > mean").join(g.node("Supplier"), F.col("p_size") == F.col("s_nationkey")).select(F.col("p_partkey").alias("part"), F.col("s_suppkey").alias("supplier"))
+    parts = g.node("Part").crossJoin(mean).filter("p_retailprice > mean").select(F.col("p_partkey").alias("part"), "p_size")
+    suppliers = g.node("Supplier").select(F.col("s_suppkey").alias("supplier"), "s_nationkey")
+    return joins.value_join(parts, suppliers, "p_size", "s_nationkey", "part", "supplier").select("part", "supplier")
 
 
 @query("""WITH hop AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R' AND l_quantity > 49)

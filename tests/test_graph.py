@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.graph import Match, PropertyGraph, RelSpec
-from graphloom.operators import computers, paths, similarity
+from graphloom.operators import computers, joins, paths, similarity
+from graphloom.plans import catalog
 
 
 @pytest.fixture
@@ -175,3 +176,33 @@ def test_components_broadcast_only_few_rows(spark, monkeypatch, rows):
     found = {x.id: x.component for x in computers.connected_components(e).collect()}
     assert found == {"hub": "hub", "z": "z"} | {b: "hub" for _, b in star} | {v: "v00" for pair in chain for v in pair}
     assert any("BroadcastHashJoin" in p for p in plans) == (rows > 0)
+
+
+def test_value_join_is_dealt_by_pairs(spark, tmp_path):
+    """Few rows of one value make many pairs, which no single task may make."""
+    frames = {name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("region", "nation", "customer", "orders", "lineitem")}
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    ids = spark.range(0, 8001, 1, 1)  # the last is below the mean
+    frames["part"] = ids.select(*(F.col("id").cast(part.schema[c].dataType).alias(c) if c == "p_partkey" else F.lit(5).alias(c) if c == "p_size" else F.when(F.col("id") < 8000, 20.0).otherwise(1.0).alias(c) if c == "p_retailprice" else F.lit("x").alias(c) for c in part.columns))
+    frames["supplier"] = spark.range(0, 4000, 1, 1).select(F.col("id").alias("s_suppkey"), F.lit("x").alias("s_name"), F.lit(5).alias("s_nationkey"), F.lit(1.0).alias("s_acctbal"))
+    for name, df in frames.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = catalog.QUERIES["value_hash_join"](spark, str(tmp_path))
+    by_task = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.sum("part").alias("part"), F.sum("supplier").alias("supplier")).collect()
+    assert sum(x.n for x in by_task) == 8000 * 4000
+    assert sum(x.part for x in by_task) == 4000 * sum(range(8000)) and sum(x.supplier for x in by_task) == 8000 * sum(range(4000))
+    assert max(x.n for x in by_task) < 0.75 * 8000 * 4000
+
+
+def test_value_join_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 10)
+    left = [(i, v) for i, v in enumerate([1] * 30 + [2] * 20 + [3, 4, None, None] + [5] * 9)]
+    right = [(i, v) for i, v in enumerate([1] * 10 + [2] + [4, 4, 6, None] + [5] * 40)]
+    a, b = spark.createDataFrame(left, "a long, x int"), spark.createDataFrame(right, "b long, y long")
+    want = sorted((i, j) for i, v in left for j, w in right if v is not None and v == w)
+    assert words(joins.value_join(a, b, "x", "y", "a", "b"), "a", "b") == want
+    assert words(joins.value_join(b, a, "y", "x", "b", "a"), "a", "b") == want
+    # rows that ``by`` does not tell apart are all kept
+    assert joins.value_join(a.withColumn("c", F.lit(0)), b, "x", "y", "c", "b").count() == len(want)
+    assert joins.value_join(a.filter("x = 3"), b, "x", "y", "a", "b").count() == 0
