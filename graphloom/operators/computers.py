@@ -75,9 +75,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, label): each vertex takes the most frequent label of its neighbours, the smallest of equals, all at once."""
     pair = materialise(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    label = pair.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
+    label = materialise(pair.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
     for _ in range(rounds):
-        votes = pair.join(label, F.col("dst") == F.col("id")).groupBy("src", "label").agg(F.count("*").alias("n"))
+        votes = _looked_up(pair, label.withColumnRenamed("id", "dst"), "dst", "src").groupBy("src", "label").agg(F.count("*").alias("n"))
         label = materialise(votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")).withColumnRenamed("src", "id"))
     return label
 
@@ -126,23 +126,26 @@ def louvain(edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
         ends = at.select("src", "dst", "weight").union(at.select("dst", "src", "weight"))
         degree = materialise(ends.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
         pair = materialise(ends.filter("src <> dst"))
+        many = degree.count() > BROADCAST_ROWS
+        # tables with a row for a vertex; the size of their files says little of what a broadcast takes in the driver
+        sized = lambda df, many=many: df.hint("merge") if many else df
         label = degree.select("id", F.col("id").alias("community"))
         for turn in range(rounds):
-            size = label.join(degree, "id").groupBy("community").agg(F.sum("k").alias("tot"))
-            links = pair.join(label.select(F.col("id").alias("dst"), F.col("community").alias("to")), "dst").groupBy("src", "to").agg(F.sum("weight").alias("w"))
-            here = label.join(degree, "id").join(size, "community").select(F.col("id").alias("src"), "community", "k", (F.col("tot") - F.col("k")).alias("rest"))
+            size = label.join(sized(degree), "id").groupBy("community").agg(F.sum("k").alias("tot"))
+            links = pair.join(sized(label.select(F.col("id").alias("dst"), F.col("community").alias("to"))), "dst").groupBy("src", "to").agg(F.sum("weight").alias("w"))
+            here = label.join(sized(degree), "id").join(sized(size), "community").select(F.col("id").alias("src"), "community", "k", (F.col("tot") - F.col("k")).alias("rest"))
             own = links.withColumnRenamed("to", "community").withColumnRenamed("w", "w_own")
-            gains = links.join(here, "src").join(own, ["src", "community"], "left").join(size.withColumnRenamed("community", "to"), "to").filter(F.col("to") < F.col("community") if turn % 2 == 0 else F.col("to") > F.col("community"))
+            gains = links.join(sized(here), "src").join(sized(own), ["src", "community"], "left").join(sized(size.withColumnRenamed("community", "to")), "to").filter(F.col("to") < F.col("community") if turn % 2 == 0 else F.col("to") > F.col("community"))
             gain = F.expr(f"w - k * tot / {m2} - (coalesce(w_own, 0) - k * rest / {m2})")
             best = gains.withColumn("gain", gain).filter("gain > 1e-9").groupBy("src").agg(F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("to"))
-            new = materialise(label.join(best, F.col("id") == F.col("src"), "left").select("id", F.coalesce("to", "community").alias("community")))
-            still = new.join(label, ["id", "community"], "left_anti").isEmpty()
+            new = materialise(label.join(sized(best), F.col("id") == F.col("src"), "left").select("id", F.coalesce("to", "community").alias("community")))
+            still = new.join(sized(label), ["id", "community"], "left_anti").isEmpty()
             label = new
             if still and turn:
                 break
-        names = label if names is None else names.join(label.select(F.col("id").alias("community"), F.col("community").alias("up")), "community").select("id", F.col("up").alias("community"))
+        names = label if names is None else names.join(sized(label.select(F.col("id").alias("community"), F.col("community").alias("up"))), "community").select("id", F.col("up").alias("community"))
         names = materialise(names)
-        of = lambda end, label=label: label.select(F.col("id").alias(end), F.col("community").alias(f"c_{end}"))
+        of = lambda end, label=label, sized=sized: sized(label.select(F.col("id").alias(end), F.col("community").alias(f"c_{end}")))
         merged = at.join(of("src"), "src").join(of("dst"), "dst").groupBy(F.least("c_src", "c_dst").alias("src"), F.greatest("c_src", "c_dst").alias("dst")).agg(F.sum("weight").alias("weight"))
         at = materialise(merged)
     return names

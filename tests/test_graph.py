@@ -206,3 +206,15 @@ def test_value_join_in_blocks(spark, monkeypatch):
     # rows that ``by`` does not tell apart are all kept
     assert joins.value_join(a.withColumn("c", F.lit(0)), b, "x", "y", "c", "b").count() == len(want)
     assert joins.value_join(a.filter("x = 3"), b, "x", "y", "a", "b").count() == 0
+
+
+def test_label_loops_broadcast_only_few_rows(spark, monkeypatch):
+    star = [("hub", f"leaf{i}", 1.0) for i in range(40)] + [(f"v{i:02d}", f"v{i + 1:02d}", 1.0) for i in range(20)]
+    e = spark.createDataFrame(star, "src string, dst string, weight double")
+    runs = {"label_propagation": lambda: computers.label_propagation(e.select("src", "dst"), 3), "louvain": lambda: computers.louvain(e, levels=1, rounds=2)}
+    want = {name: sorted(map(tuple, run().collect())) for name, run in runs.items()}
+    plans, write = [], computers.materialise
+    monkeypatch.setattr(computers, "materialise", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    monkeypatch.setattr(computers, "BROADCAST_ROWS", -1)
+    assert {name: sorted(map(tuple, run().collect())) for name, run in runs.items()} == want
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
