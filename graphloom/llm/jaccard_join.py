@@ -17,8 +17,11 @@ How the work is spread:
    sets that hold it; the links found make components. Where a shingle is still in different components, the sets that
    hang together over such shingles are a cluster. The sets of a cluster of at most CLUSTER sets probe its tries. In a
    larger cluster they probe the tries of the shingle's own holders of a similar size, and a pair is met only at the
-   first shingle that both prefixes have. So no link between components is missed, a group whose sets are linked anyway
-   is not expanded into all its pairs, and a cluster that has no end is not compared with itself.
+   first shingle that both prefixes have; but not if these are more pairs than those of the cluster, as in a large group
+   of near copies, which share most of their shingles. So no link between components is missed, a group whose sets are
+   linked anyway is not expanded into all its pairs, and a cluster that has no end is not compared with itself.
+5. A walk of a trie takes many probes at once: each of its shingles has a row of bytes, one for each probe, and the
+   overlaps of all probes grow by adding up rows.
 """
 
 from __future__ import annotations
@@ -31,10 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import GROUP_BYTES, U, components, materialise, partitions, rows_of, salted_join, slices, small_batches
-from .shingles import shingle_sets, signature
+from .shingles import shingle_sets, signatures
 
-#: Sets that one trie holds, and sets of a cluster that is compared as a whole.
-TRIE_SETS, CLUSTER = 512, 8192
+#: Sets that one trie holds, sets that probe it in one task, and sets of a cluster that is compared as a whole at any rate.
+TRIE_SETS, SLOT_SETS, CLUSTER = 512, 2048, 8192
+#: Probes that walk a trie at once, bytes of their rows, shingles of a trie from which on each probe walks alone, and
+#: shingles that are added up between two looks at the bounds; a byte holds no more than 255.
+WALKERS, WALK_BYTES, WALK_TOKENS, STEP = 512, 32 << 20, 1 << 22, 255
 #: Bytes of text for a bucket of shingles and for a group of texts whose shingles travel together.
 BUCKET_BYTES, TEXT_BYTES = 64 << 20, 4 << 20
 #: Sets of a group of texts, and sets of a bucket's list, from which a shingle is hot.
@@ -53,11 +59,21 @@ def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
 
 def _packed(kind, ids, sizes, owner, tokens, extra, target, buckets) -> Iterator[tuple]:
     """Rows (bucket, kind, ...): the entries of each target bucket; an entry names its set by a place in ``ids``."""
-    order = np.argsort(target, kind="stable")
-    bounds = np.searchsorted(target[order], np.arange(buckets + 1))
+    order = np.argsort(target.astype(np.uint16) if buckets <= 1 << 16 else target, kind="stable")  # short keys take one pass
+    bounds = np.r_[0, np.cumsum(np.bincount(target, minlength=buckets))]
+    seen = np.zeros(len(ids), bool)
+    places = np.zeros(len(ids), np.int64)
     for b in np.flatnonzero(np.diff(bounds)):
         at = order[bounds[b] : bounds[b + 1]]
-        used, place = np.unique(owner[at], return_inverse=True)
+        used = owner[at]
+        if len(at) > len(ids) >> 5:  # many: a flag for each set, not a sort
+            seen[:] = False
+            seen[used] = True
+            used = np.flatnonzero(seen)
+        else:
+            used = np.unique(used)
+        places[used] = np.arange(len(used))
+        place = places[owner[at]]
         yield int(b), kind, ids[used].tobytes(), sizes[used].tobytes(), place.astype(np.uint32).tobytes() if len(used) > 65535 else place.astype(np.uint16).tobytes(), tokens[at].tobytes(), b"" if extra is None else extra[at].tobytes()
 
 
@@ -90,8 +106,8 @@ def _shingled(key: str, text: str, size: int, buckets: int):
         def rows():
             place = TaskContext.get().partitionId()
             for group in slices(((k, t or b"") for k, t in rows_of(batches, key, text)), TEXT_BYTES):
-                sets = [s for part in slices(((None, t) for _, t in group), GROUP_BYTES) for s in shingle_sets([t for _, t in part], size)]
-                sigs = np.array([signature(s) for s in sets], np.int64)
+                parts = [shingle_sets([t for _, t in part], size) for part in slices(((None, t) for _, t in group), GROUP_BYTES)]
+                sets, sigs = [s for part in parts for s in part], np.concatenate([signatures(part) for part in parts])
                 ns = np.array([len(s) for s in sets], np.int64)
                 docs = np.array([-1 if k is None else k for k, _ in group], np.int64)
                 valid = np.array([k is not None for k, _ in group])
@@ -295,6 +311,51 @@ class Trie:
             differ = np.flatnonzero(a[:m] != b[:m])
             self.shared.append(int(differ[0]) if len(differ) else m)
         self.shared.append(0)
+        self.size = sum(len(x) for x in self.tokens)
+        self.names: np.ndarray | None = None
+
+    def walk(self, probes: list[tuple[int, int, np.ndarray, np.ndarray, int]], num: int, den: int, joined: Joined, first: int | None = None) -> Iterator[tuple[int, int]]:
+        """Links (probe, set) as ``probe`` finds them, but of all ``probes`` (sig, n, freq, tokens, comp) in one walk."""
+        if self.names is None:
+            self.names, codes = np.unique(np.concatenate(self.tokens), return_inverse=True)
+            self.codes = np.split(codes, np.cumsum([len(x) for x in self.tokens])[:-1])
+        width = -(-len(probes) // 8) * 8  # eight bytes are added at once
+        held = np.zeros((len(self.names), width), np.uint8)
+        earlier = None if first is None else np.zeros_like(held)
+        n, left, comp = (np.zeros(width, np.int64) for _ in range(3))
+        for p, (_, m, _, tokens, c) in enumerate(probes):
+            values = tokens.view(U)
+            place = np.searchsorted(self.names, values)
+            place[place == len(self.names)] = 0
+            there = self.names[place] == values
+            held[place[there], p] = 1
+            if first is not None:
+                there[int(np.flatnonzero(values == U(first))[0]) :] = False
+                earlier[place[there], p] = 1
+            n[p], left[p], comp[p] = m, len(values), joined.root(c)
+        rows, before = held.view(np.uint64), None if first is None else earlier.view(np.uint64)
+        path = [(0, np.zeros(width, np.int64), np.zeros(width, bool))]
+        for i, codes in enumerate(self.codes):
+            while path[-1][0] > self.shared[i]:
+                path.pop()
+            at, overlap, met = path[-1]
+            m, branch = self.n[i], self.shared[i + 1]
+            need = -(-num * (n + m) // (num + den))
+            live = (m * den >= n * num) & (n * den >= m * num) & (comp != joined.root(self.comp[i]))
+            live &= ~met & (overlap + np.minimum(len(codes) - at, left - overlap) >= need)
+            while at < len(codes) and live.any():
+                end = min(at + STEP, branch if at < branch else len(codes))
+                overlap = overlap + np.add.reduce(rows[codes[at:end]], axis=0).view(np.uint8)
+                if first is not None:
+                    met = met | (np.bitwise_or.reduce(before[codes[at:end]], axis=0).view(np.uint8) > 0)
+                at = end
+                if at == branch:
+                    path.append((at, overlap, met))
+                live &= ~met & (overlap + np.minimum(len(codes) - at, left - overlap) >= need)
+            for p in np.flatnonzero(live).tolist():
+                if joined.root(self.comp[i]) != (mine := joined.root(probes[p][4])):
+                    joined.link(self.comp[i], mine)
+                    yield probes[p][0], self.ids[i]
 
     def probe(self, n: int, freq: np.ndarray, tokens: np.ndarray, comp: int, num: int, den: int, joined: Joined | None = None, first: int | None = None) -> list[int]:
         """The sets of other components whose Jaccard similarity with the probe is at least num / den.
@@ -355,23 +416,35 @@ def _probed(num: int, den: int, by_shingle: bool = False):
     With ``by_shingle`` the group is a shingle at which its pairs are to be met.
     """
 
+    def found(trie, probes, joined, first):
+        if len(probes) < 4 or trie.size > WALK_TOKENS:
+            yield from ((sig, x) for sig, *one, comp in probes for x in trie.probe(*one, comp, num, den, joined, first))
+        elif probes:
+            yield from trie.walk(probes, num, den, joined, first)
+
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def rows():
-            at, trie, members, joined = None, None, [], None
+            at, trie, members, joined, probes, first = None, None, [], None, [], None
             for batch in batches:
                 group, chunk, slot, role, sig, comp, n = (batch.column(i).to_pylist() for i in range(7))
                 freqs, tokens = batch.column(7), batch.column(8)
                 for i in range(batch.num_rows):
                     if (group[i], chunk[i], slot[i]) != at:
-                        at, trie, members, joined = (group[i], chunk[i], slot[i]), None, [], Joined(True)
+                        yield from found(trie, probes, joined, first)
+                        at, trie, members, joined, probes = (group[i], chunk[i], slot[i]), None, [], Joined(True), []
+                        first = group[i] % (1 << 64) if by_shingle else None
                     one = (sig[i], n[i], freqs[i].values.to_numpy(), tokens[i].values.to_numpy(), comp[i])
                     if role[i] == 0:
                         members.append(one)
                     elif members:
                         trie = trie or Trie(members)
-                        yield from ((sig[i], x) for x in trie.probe(*one[1:4], one[4], num, den, joined, group[i] % (1 << 64) if by_shingle else None))
+                        probes.append(one)
+                        if len(probes) >= WALKERS or len(probes) * trie.size >= WALK_BYTES:
+                            yield from found(trie, probes, joined, first)
+                            probes = []
+            yield from found(trie, probes, joined, first)
 
         return _batches(rows(), schema)
 
@@ -382,7 +455,7 @@ def _links(members: DataFrame, probes: DataFrame, sets: DataFrame, num: int, den
     """Links between probes and members (group, chunk, slot, sig, comp) of the same group, chunk and slot."""
     rows = members.withColumn("role", F.lit(0)).unionByName(probes.withColumn("role", F.lit(1))).join(sets, "sig")
     rows = rows.select("group", "chunk", "slot", "role", "sig", "comp", "n", "freq", "tokens")
-    return rows.repartition(partitions(sets.sparkSession), "group", "chunk", "slot").sortWithinPartitions("group", "chunk", "slot", "role").mapInArrow(_probed(num, den, by_shingle), "a long, b long")
+    return rows.repartition(partitions(sets.sparkSession), "group", "chunk", "slot").sortWithinPartitions("group", "chunk", "slot", "role", "n").mapInArrow(_probed(num, den, by_shingle), "a long, b long")
 
 
 def _leaders(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -404,13 +477,13 @@ def _whole(held: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _clusters(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All links between different components of a cluster, for the sets (cluster, sig, comp) of small clusters.
+    """All links between different components of a cluster, for the sets (cluster, sig, comp) of clusters.
 
     The sets of a cluster lie in chunks of about TRIE_SETS, each a trie. Sets outside the largest component probe all
-    chunks of their cluster; probes come in slots of about TRIE_SETS as well, so a task holds two such parts at most.
+    chunks of their cluster; probes come in slots of about SLOT_SETS, which bound a task and pass through it.
     """
-    whole = _whole(held, ["cluster"]).select("cluster", F.expr(f"cast(ceil(m / {TRIE_SETS}) as int)").alias("chunks"), F.expr(f"cast(ceil((m - k) / {TRIE_SETS}) as int)").alias("slots"), "main")
-    held = held.join(whole, "cluster").select(F.col("cluster").alias("group"), "sig", "comp", "main", "chunks", "slots")
+    whole = _whole(held, ["cluster"]).select("cluster", F.expr(f"cast(ceil(m / {TRIE_SETS}) as int)").alias("chunks"), F.expr(f"cast(ceil((m - k) / {SLOT_SETS}) as int)").alias("slots"), "main")
+    held = salted_join(held, materialise(whole), ["cluster"], "sig").select(F.col("cluster").alias("group"), "sig", "comp", "main", "chunks", "slots")
     own = F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int")
     members = held.select("group", own.alias("chunk"), F.explode(F.expr("sequence(0, slots - 1)")).alias("slot"), "sig", "comp")
     place = F.pmod(F.xxhash64("sig", F.lit(1)), F.col("slots")).cast("int")
@@ -429,7 +502,7 @@ def _postings(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     # how many tries a band has, and how many slots the probes of a band come in
     counts = banded.groupBy("token", "band").agg(F.count("*").alias("m"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("p"))
     near = counts.select("token", "p", F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band")).groupBy("token", "band").agg(F.sum("p").alias("p"))
-    plan = counts.drop("p").join(near, ["token", "band"]).filter("p > 0").select("token", "band", F.expr(f"cast(ceil(m / {TRIE_SETS}) as int)").alias("chunks"), F.expr(f"cast(ceil(p / {TRIE_SETS}) as int)").alias("slots"))
+    plan = counts.drop("p").join(near, ["token", "band"]).filter("p > 0").select("token", "band", F.expr(f"cast(ceil(m / {TRIE_SETS}) as int)").alias("chunks"), F.expr(f"cast(ceil(p / {SLOT_SETS}) as int)").alias("slots"))
     plan = materialise(plan)
     own = F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int")
     inner = F.expr("band * 1000000 + chunk")
@@ -440,6 +513,14 @@ def _postings(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return _links(members, probes, sets, num, den, by_shingle=True)
 
 
+def _listed(held: DataFrame) -> DataFrame:
+    """The clusters of (cluster, token, sig, comp) whose sets meet fewer sets in the lists of the shingles than in the cluster."""
+    pairs = F.expr("cast(m as double) * (m - k)")
+    lists = _whole(held.select("cluster", "token", "sig", "comp"), ["cluster", "token"]).groupBy("cluster").agg(F.sum(pairs).alias("met"))
+    whole = _whole(held.select("cluster", "sig", "comp").distinct(), ["cluster"]).select("cluster", pairs.alias("all"))
+    return whole.join(lists, "cluster").filter("met < all").select("cluster", F.lit(True).alias("listed"))
+
+
 def _open_links(still: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """All links between the components that share a prefix shingle: ``still`` has (token, sig, n, comp, lo), where lo is
     the least component at the shingle."""
@@ -453,10 +534,11 @@ def _open_links(still: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     large = materialise(open_.groupBy("cluster").count().filter(F.col("count") > CLUSTER).select("cluster", F.lit(True).alias("large")))
     if large.isEmpty():
         return _clusters(open_, sets, num, den)
-    sized = materialise(salted_join(open_, large, ["cluster"], "sig", "left"))
-    near, far = sized.filter("large is null").drop("large"), sized.filter("large").select("sig")
-    held = still.select("token", "sig", "n", "comp").join(far, "sig", "left_semi")
-    return _clusters(near, sets, num, den).unionByName(_postings(held, sets, num, den))
+    held = materialise(still.select("token", "sig", "n", "comp").join(salted_join(open_, large, ["cluster"], "sig").select("sig", "cluster"), "sig"))
+    sized = materialise(salted_join(open_, materialise(_listed(held)), ["cluster"], "sig", "left"))
+    near, far = sized.filter("listed is null").drop("listed"), sized.filter("listed").select("sig")
+    links = _clusters(near, sets, num, den)
+    return links if far.isEmpty() else links.unionByName(_postings(held.drop("cluster").join(far, "sig", "left_semi"), sets, num, den))
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 3, den: int = 4, rounds: int = 2) -> DataFrame:

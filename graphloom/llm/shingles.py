@@ -45,7 +45,8 @@ def shingle_sets(texts: list[bytes | None], size: int = 5) -> list[np.ndarray]:
     sets = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= size:
-            sets.append(np.unique(chained[a : b - size + 1]))
+            whole = np.sort(chained[a : b - size + 1])
+            sets.append(whole[np.r_[True, whole[1:] != whole[:-1]]])
         elif b > a:
             place = np.arange(1, b - a + 1, dtype=U)
             whole = np.add.reduce(mix(words[a:b] + place) * (place + place + U(1)), keepdims=True)
@@ -55,9 +56,13 @@ def shingle_sets(texts: list[bytes | None], size: int = 5) -> list[np.ndarray]:
     return sets
 
 
-def signature(shingles: np.ndarray) -> int:
-    """A signed 64-bit fingerprint of a set."""
-    if not len(shingles):
-        return 0
-    total = np.array([np.add.reduce(mix(shingles)), np.bitwise_xor.reduce(mix(shingles ^ U(0xA5A5A5A5A5A5A5A5))), U(len(shingles))], U)
-    return int(np.add.reduce(mix(total * np.array([3, 5, 7], U))).astype(np.int64))
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """A signed 64-bit fingerprint of each set; 0 for empty ones."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    out, full = np.zeros(len(sets), U), sizes > 0
+    if full.any():
+        values = np.concatenate(sets)
+        first = np.r_[0, np.cumsum(sizes[full])[:-1]]
+        sums, folded = np.add.reduceat(mix(values), first), np.bitwise_xor.reduceat(mix(values ^ U(0xA5A5A5A5A5A5A5A5)), first)
+        out[full] = mix(sums * U(3)) + mix(folded * U(5)) + mix(sizes[full].astype(U) * U(7))
+    return out.view(np.int64)

@@ -114,6 +114,51 @@ def test_trie_finds_what_pairs_find():
         assert sorted(trie.probe(n, freq, tokens, comp, 3, 4)) == want
 
 
+@pytest.mark.parametrize("step", [255, 7])
+def test_many_probes_find_in_one_walk_what_they_find_alone(monkeypatch, step):
+    from graphloom.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "STEP", step)
+    rng, sets, probes = random.Random(4), [], []
+    for i in range(150):
+        base = set(range(300 * (i % 3), 300 * (i % 3) + 300)) - set(rng.sample(range(900), rng.randrange(0, 200))) | {1000}
+        tokens = np.array(sorted(base), np.int64)
+        one = (i, len(tokens) + rng.randrange(0, 9), (tokens // 100 + 2).astype(np.int32), tokens, i // 2)
+        (sets if i % 5 else probes).append(one)
+    ends = {i: comp for i, *_, comp in sets + probes}
+    for first in (None, 1000, 302):
+        trie, mine = Trie([x for x in sets if first is None or first in x[3]]), [x for x in probes if first is None or first in x[3]]
+        alone = {(x[0], y) for x in mine for y in trie.probe(*x[1:], 3, 4, None, first)}
+        got = list(trie.walk(mine, 3, 4, J.Joined(True), first))
+        assert set(got) <= alone and (first == 1000 or alone)
+        forest, whole = J.Joined(True), J.Joined(True)
+        for links, joined in ((got, forest), (sorted(alone), whole)):
+            for x, y in links:
+                if joined.root(ends[x]) != joined.root(ends[y]):
+                    joined.link(ends[x], joined.root(ends[y]))
+        assert len(got) == len(forest.held) == len(whole.held)
+
+
+@pytest.mark.parametrize("chained", [False, True])
+def test_large_group_of_near_copies_meets_each_pair_once(spark, documents, monkeypatch, chained):
+    """The shingles of a text that many copies share would make each pair come up at many of them."""
+    from graphloom.llm import common, jaccard_join as J
+
+    rng, lists, postings = random.Random(9), [], J._postings
+    for name, value in {"TRIE_SETS": 16, "SLOT_SETS": 32, "WALKERS": 8, "CLUSTER": 10}.items():
+        monkeypatch.setattr(J, name, value, raising=False)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(J, "_postings", lambda held, *a: lists.append(held.count()) or postings(held, *a))
+    if chained:  # each shares shingles with two neighbours only
+        rows = [(i, " ".join(f"c{i + k}x{j}" for k in (0, 1) for j in range(20))) for i in range(60)] + [(100, " ".join(f"c{i}x{j}" for i in range(61) for j in range(20)))]
+    else:
+        base = [f"b{i}" for i in range(150)]
+        rows = [(i, " ".join(edited(base, rng.randrange(4, 16), rng))) for i in range(120)]
+    got = [tuple(x) for x in jaccard_join(documents(rows), rounds=1).collect()]
+    assert sorted(got) == brute(rows)
+    assert bool(lists) == chained
+
+
 def test_shingles_of_long_and_short_texts():
     long = b" ".join(b"w%d" % (i % 5000) for i in range(200_000))
     assert [len(x) for x in shingle_sets([long, b"a b c d", b"", None, b"A b", b"a B"])] == [5000, 1, 0, 0, 1, 1]
